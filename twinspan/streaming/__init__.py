@@ -1,0 +1 @@
+"""No streaming operator exists: windows here are positions in a sequence, never event time."""
