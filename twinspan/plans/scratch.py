@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,16 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans whose results are saved.
+
+    Its cleaner acts when the driver's garbage is collected, which a driver with little to do may put
+    off for the whole of a long plan; until then every stage's files stay on the executors' disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def clear() -> None:
     """Delete every table that was saved; DataFrames that read them can't be used afterwards."""
     while _written:
