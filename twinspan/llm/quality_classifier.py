@@ -17,7 +17,7 @@ the input beside doc_id and text are left alone.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,18 +87,26 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, max_labels: in
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, score) of every row of `docs`."""
-    spark = docs.sparkSession
+def scorer(spark: SparkSession, weights: tuple[np.ndarray, np.ndarray]) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """A function that scores the texts of a batch; the weights are sent to each executor once."""
     small_batches(spark)
     sent = spark.sparkContext.broadcast(weights)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scores(batch: pa.RecordBatch) -> np.ndarray:
         dense = np.zeros(1 << BITS)
         dense[sent.value[0]] = sent.value[1]
+        return np.array([sigmoid(float(dense[idx] @ val)) for idx, val in featured(batch.column("text"), dense != 0)])
+
+    return scores
+
+
+def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, score) of every row of `docs`."""
+    scores = scorer(docs.sparkSession, weights)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [sigmoid(float(dense[idx] @ val)) for idx, val in featured(batch.column("text"), dense != 0)]
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(out, pa.float64())})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(scores(batch), pa.float64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
@@ -114,3 +122,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LAB
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, that the classifier doesn't reject; no join, one pass."""
+    scores = scorer(docs.sparkSession, fit(labelled_rows(docs, labels, "quality")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch) >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -66,54 +66,60 @@ def _polynomials(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mixed(np.add.reduceat(values * power[place], at) + lengths.astype(np.uint64) * _P)
 
 
-def _hashed(raw: np.ndarray, ends: np.ndarray, shapes: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashed(raw: np.ndarray, ends: np.ndarray, shapes: bool, stems: tuple[int, ...]) -> tuple[list[np.ndarray], np.ndarray]:
     word = ~_SPACE[raw]
     first = word.copy()
     new = ~word[:-1]
     new[ends[(ends > 0) & (ends < len(raw))] - 1] = True
     first[1:] &= new
     starts = np.flatnonzero(first)
-    none = np.zeros(0, np.uint64)
     if not len(starts):
-        return none, none, np.zeros(len(ends), np.int64)
+        return [np.zeros(0, np.uint64)] * (1 + shapes + len(stems)), np.zeros(len(ends), np.int64)
     letters = raw[word]
     at = np.flatnonzero(first[word])
-    hashes, forms = _polynomials(_VALUE[_FOLD[letters]], at), none
+    values = _VALUE[_FOLD[letters]]
+    found = [_polynomials(values, at)]
     if shapes:
         kind = _KIND[letters]
         keep = np.ones(len(kind), bool)
         keep[1:] = (kind[1:] != kind[:-1]) | ~_RUNS[kind[1:]]
         keep[at] = True
-        forms = _polynomials(_VALUE[kind[keep]], (np.cumsum(keep) - 1)[at])
-    return hashes, forms, np.searchsorted(starts, ends)
+        found.append(_polynomials(_VALUE[kind[keep]], (np.cumsum(keep) - 1)[at]))
+    if stems:
+        lengths = np.diff(np.append(at, len(letters)))
+        place = np.arange(len(letters)) - np.repeat(at, lengths)
+    for n in stems:
+        keep = place < n
+        found.append(_polynomials(values[keep], (np.cumsum(keep) - 1)[at]) ^ np.uint64(n))
+    return found, np.searchsorted(starts, ends)
 
 
-def hashed_words(texts: pa.Array, shapes: bool = False) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each text, the 64-bit hashes of its words with A-Z in lower case, and of their shapes if asked for.
+def hashed_words(texts: pa.Array, shapes: bool = False, stems: tuple[int, ...] = ()) -> list[list[np.ndarray]]:
+    """Of each text, the 64-bit hashes of its words with A-Z in lower case; then, if asked for, of their
+    shapes, and of the first so many bytes of each word for each number in `stems`.
 
     A shape has one sign for each run of small letters (all beyond ASCII among them), of capitals and of
     digits, and other characters as they are. Works on the bytes of many texts at once, in slices of
     bounded size; null and empty texts have no words.
     """
-    raw_texts = texts.cast(pa.large_binary())
-    hashes, forms, group, size = [], [], [], 0
+    out: list[list[np.ndarray]] = [[] for _ in range(1 + shapes + len(stems))]
+    group, size = [], 0
 
     def flush() -> None:
         nonlocal size
         raw = np.frombuffer(b"".join(group), np.uint8)
         ends = np.cumsum([len(x) for x in group])
-        h, f, upto = _hashed(raw, ends, shapes)
-        for a, b in zip([0, *upto[:-1]], upto, strict=True):
-            hashes.append(h[a:b])
-            forms.append(f[a:b])
+        found, upto = _hashed(raw, ends, shapes, stems)
+        for mine, all_of in zip(out, found, strict=True):
+            mine.extend(all_of[a:b] for a, b in zip([0, *upto[:-1]], upto, strict=True))
         group.clear()
         size = 0
 
-    for x in raw_texts.to_pylist():
+    for x in texts.cast(pa.large_binary()).to_pylist():
         group.append(x or b"")
         size += len(group[-1])
         if size >= SLICE:
             flush()
     if group:
         flush()
-    return hashes, forms
+    return out
