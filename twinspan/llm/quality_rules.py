@@ -12,7 +12,6 @@ windows of a text are found by sorting their hashes with their places, in time n
 from __future__ import annotations
 
 import time
-from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,7 +31,7 @@ SAMPLE = 500
 
 class Rule(NamedTuple):
     name: str
-    rejects: Column  # over the columns of `figures` and _text
+    rejects: str  # SQL over the columns of `figures`
 
 
 def _without(text: Column, signs: str) -> Column:
@@ -45,13 +44,15 @@ def _among(text: Column, signs: str) -> Column:
 
 #: Rules that follow the base rules; each leaves prose in any language well alone.
 RULES = (
-    Rule("word_length", (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words"))),
-    Rule("symbols", F.col("n_symbols") * 10 > 3 * F.col("n_words")),
-    Rule("dup_lines", F.col("n_dup_lines") * 10 > 3 * F.col("_lines")),
-    Rule("capitals", _among(F.col("_text"), CAPITALS) * 2 > F.col("word_chars")),
-    Rule("digits", _among(F.col("_text"), DIGITS) * 10 > 3 * F.col("word_chars")),
+    Rule("word_length", "word_chars < 2 * n_words or word_chars > 15 * n_words"),
+    Rule("symbols", "n_symbols * 10 > 3 * n_words"),
+    Rule("dup_lines", "n_dup_lines * 10 > 3 * _lines"),
+    Rule("capitals", f"(length(_text) - length(translate(_text, '{CAPITALS}', ''))) * 2 > word_chars"),
+    Rule("digits", f"(length(_text) - length(translate(_text, '{DIGITS}', ''))) * 10 > 3 * word_chars"),
 )
 
+BASE_FAILED = "n_words < 50 or 100 * n_repeat_words > 50 * n_words"
+
 
 def figures(docs: DataFrame) -> DataFrame:
     """doc_id, _text, n_words, word_chars, n_symbols, _lines, n_dup_lines and n_repeat_words of each row.
@@ -83,9 +84,6 @@ def figures(docs: DataFrame) -> DataFrame:
     return d.withColumn("n_repeat_words", F.when(F.col("_sorted").isNull(), 0).otherwise(covered).cast("long")).drop("_hashes", "_bits", "_mask", "_sorted")
 
 
-BASE_FAILED = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-
-
 def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMPLE) -> list[Rule]:
     """The rules, those first that reject most per second on a sample of the rows."""
     spark = docs.sparkSession
@@ -94,20 +92,21 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample: int = SAMP
         return list(rules)
     local = spark.createDataFrame(rows)
 
-    def seconds(rejects: Column) -> tuple[float, float]:
+    def seconds(rejects: str) -> tuple[float, float]:
         began = time.perf_counter()
-        share = figures(local).agg(F.avg(rejects.cast("int"))).first()[0]
+        share = figures(local).agg(F.avg(F.expr(rejects).cast("int"))).first()[0]
         return time.perf_counter() - began, share or 0.0
 
-    seconds(F.lit(False))  # compiles what all of them share
-    floor, _ = seconds(F.lit(False))
+    seconds("false")  # compiles what all of them share
+    floor, _ = seconds("false")
     measured = {r.name: seconds(r.rejects) for r in rules}
     return sorted(rules, key=lambda r: (-measured[r.name][1] / max(measured[r.name][0] - floor, 1e-3), r.name))
 
 
 def cascade(rules: list[Rule]) -> Column:
     """The first rule that rejects a row, or null; a rule is evaluated only if none before it rejects."""
-    return reduce(lambda w, r: w.when(r.rejects, F.lit(r.name)), rules[1:], F.when(rules[0].rejects, F.lit(rules[0].name))) if rules else F.lit(None).cast("string")
+    whens = "".join(f" when {r.rejects} then '{r.name}'" for r in rules)
+    return F.expr(f"case{whens} end") if rules else F.lit(None).cast("string")
 
 
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -116,7 +115,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Null and empty texts have no words, so they fail the base. Repeated rows are judged each for itself and
     alike. An empty table gives no rows. Columns beside doc_id and text are left alone.
     """
-    judged = figures(docs).withColumn("base_failed", BASE_FAILED)
+    judged = figures(docs).withColumn("base_failed", F.expr(BASE_FAILED))
     kept = F.when(F.col("base_failed"), False).otherwise(cascade(ordered(docs, rules)).isNull())
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
 
