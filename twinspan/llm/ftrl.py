@@ -21,22 +21,28 @@ class Ftrl:
         l1 = np.where((np.arange(len(self.z)) if isinstance(idx, slice) else idx) == 0, 0.0, self.l1)
         return np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
-    def update(self, idx: np.ndarray, val: np.ndarray, y: float, weight: float = 1.0) -> None:
+    def update(self, idx: np.ndarray, val: np.ndarray, y: float) -> None:
         """One example: distinct features `idx` with values `val`, label `y`."""
         w, n = self.weights(idx), self.n[idx]
-        g = (sigmoid(float(w @ val)) - y) * weight * val
+        g = (sigmoid(float(w @ val)) - y) * val
         self.z[idx] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[idx] = n + g * g
 
-    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, balance: bool = False, seed: int = 7) -> Ftrl:
-        """Runs over the rows in a fixed shuffled order each epoch. balance: both labels weigh the same in sum."""
+    def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int, kept: float = 1.0, seed: int = 7) -> Ftrl:
+        """Runs over the rows in a fixed shuffled order each epoch.
+
+        kept: the share of a row's features, chosen anew each time, that an update sees, so that no feature
+        relies on others to be there. The intercept is always seen.
+        """
         y = np.asarray(labels, float)
-        share = min(max(y.mean(), 1e-3), 1 - 1e-3) if len(y) else 0.5
-        weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) if balance else np.ones(len(y))
-        order = np.random.default_rng(seed)
+        random = np.random.default_rng(seed)
         for _ in range(epochs):
-            for i in order.permutation(len(rows)):
-                self.update(*rows[i], y[i], weight[i])
+            for i in random.permutation(len(rows)):
+                idx, val = rows[i]
+                if kept < 1:
+                    seen = (random.random(len(idx)) < kept) | (idx == 0)
+                    idx, val = idx[seen], val[seen]
+                self.update(idx, val, y[i])
         return self
 
 

@@ -34,6 +34,8 @@ LANGUAGES = ("de", "en", "es", "fr")
 CATEGORIES = (*(f"toxic_{x}" for x in LANGUAGES), "toxic")
 MAX_LABELS = 8000
 FOLDS = 3
+#: Share of a row's features that an update sees: one abusive word must be enough, with no other beside it.
+KEPT = 0.7
 THRESHOLD = 0.5
 #: Lengths in bytes of the word beginnings that are features beside the whole words.
 STEMS = (4, 6)
@@ -55,14 +57,14 @@ def _with_earlier(idx: np.ndarray, earlier: list[float]) -> tuple[np.ndarray, np
     return np.concatenate((idx, np.arange(1, k + 1))), np.concatenate((np.ones(len(idx)), earlier))
 
 
-def train_chain(rows: list[np.ndarray], marks: np.ndarray, folds: int = FOLDS, epochs: int = 3) -> list[np.ndarray]:
+def train_chain(rows: list[np.ndarray], marks: np.ndarray, folds: int = FOLDS, epochs: int = 8) -> list[np.ndarray]:
     """Weights of each category's model; `marks` has a column for each category, in the chain's order."""
     earlier: list[list[float]] = [[] for _ in rows]
     out = []
     for c in range(marks.shape[1]):
         full = [_with_earlier(x, e) for x, e in zip(rows, earlier, strict=True)]
         y = marks[:, c]
-        model = lambda at: Ftrl(1 << BITS, alpha=0.3, beta=1.0, l1=1.5, l2=0.1).fit([full[i] for i in at], y[at], epochs).weights()
+        model = lambda at: Ftrl(1 << BITS, alpha=1.0, beta=0.1, l1=4.0, l2=0.0).fit([full[i] for i in at], y[at], epochs, KEPT).weights()
         for f in range(folds):
             mine = np.arange(len(rows)) % folds == f
             w = model(np.flatnonzero(~mine))
