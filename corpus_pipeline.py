@@ -9,20 +9,51 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from twinspan.llm import quality_classifier
+from twinspan.llm import jaccard_join, mixing, packing, quality_classifier, toxicity
+from twinspan.llm.words import word_count
 from twinspan.plans.scratch import save
 from twinspan.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Near duplicates: shingles of five words, Jaccard similarity of 0.8 or more.
+SHINGLE, SIMILARITY = 5, (4, 5)
+
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier doesn't reject."""
     return quality_classifier.keep(docs, table(spark, sf_dir, "labels"))
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_classifier", keep_quality)]
+def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that aren't found toxic."""
+    return toxicity.keep(docs, table(spark, sf_dir, "labels"))
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates, that of the smallest id."""
+    return jaccard_join.keep_one(docs, SHINGLE, SIMILARITY)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it: not at all, once or twice."""
+    return mixing.mixed(docs, word_count(F.col("text")))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens."""
+    return packing.pack_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", keep_quality),
+    ("toxicity", keep_clean),
+    ("jaccard_join", keep_one_of_each),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: SQL can express neither trained models nor tokenizers; tests hold the stages against brute force.
 ORACLE_SQL: str | None = None

@@ -94,19 +94,43 @@ def _small(by_source: DataFrame) -> DataFrame:
     return F.broadcast(by_source) if by_source.count() <= BROADCAST_ROWS else by_source
 
 
+def _spread() -> Column:
+    return F.shiftrightunsigned(F.xxhash64(F.lit(41), "doc_id"), 64 - BITS * PASSES)
+
+
+def _times() -> Column:
+    """How often the mix takes a document, from its hash and its source's threshold."""
+    return (F.col("rounds") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)).cast("int")
+
+
+def _sized(docs: DataFrame, size: Column) -> DataFrame:
+    """(doc_id, source, size, hash): what is left of the texts."""
+    return save(docs.select("doc_id", "source", size.alias("size"), _spread().alias("hash")), "sizes")
+
+
+def _cuts(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """(of, source_size, target, rounds, below) of each source."""
+    goals = save(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "goals")
+    return save(goals.join(thresholds(sized, goals), F.expr(SAME)).drop("source", "weight"), "cuts")
+
+
 def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document.
 
     taken is `size` times the times that the mix repeats the document. A null text has size 0. Equal
     doc_ids of a source share a hash, and so are all taken or not. An empty table gives no rows.
     """
-    spread = F.shiftrightunsigned(F.xxhash64(F.lit(41), "doc_id"), 64 - BITS * PASSES)
-    sized = save(docs.select("doc_id", "source", size.alias("size"), spread.alias("hash")), "sizes")
-    goals = save(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "goals")
-    cuts = goals.join(thresholds(sized, goals), F.expr(SAME)).drop("source", "weight")
-    times = F.col("rounds") + F.when(F.col("hash") < F.col("below"), 1).otherwise(0)
-    out = sized.join(_small(save(cuts, "cuts")), F.expr(SAME))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * times).alias("taken"))
+    sized = _sized(docs, size)
+    out = sized.join(_small(_cuts(sized, weights, share, most)), F.expr(SAME))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _times()).alias("taken"))
+
+
+def mixed(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of the mix, with the columns of `docs`: each document as often as the mix takes it."""
+    cuts = _cuts(_sized(docs, size), weights, share, most).select("of", "rounds", "below")
+    row = docs.select(F.struct(*docs.columns).alias("row"), "source", _spread().alias("hash"))
+    taken = row.join(_small(cuts), F.expr(SAME)).where(_times() > 0)
+    return taken.select("row", F.explode(F.array_repeat(F.lit(True), _times()))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
