@@ -169,6 +169,7 @@ LABELLED = (
     (0, 0.0, 80, 0.0, 0, 0.0, 0, 0, 1), (90, 0.0, 4, 0.0, 35, 0.0, 0, 0, 1), (35, 0.0, 19, 0.2, 22, 0.1, 0, 0, 1), (1, 1.0, 8, 0.0, 64, 0.0, 0, 0, 1), (0, 0.0, 7, 0.0, 58, 0.0, 0, 0, 1),
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0), (0, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (3, 1.0, 2, 0.5, 4, 1.0, 0, 0, 0), (70, 0.0, 5, 0.8, 3, 1.0, 0, 0, 0),
     (5, 0.8, 24, 0.9, 4, 1.0, 0, 0, 0), (4, 1.0, 6, 0.0, 2, 1.0, 0, 0, 0), (2, 1.0, 5, 0.0, 0, 0.0, 0, 0, 0), (3, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0), (4, 0.0, 3, 0.0, 5, 0.0, 0, 0, 0),
+    (1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0), (2, 1.0, 2, 1.0, 70, 0.0, 0, 0, 0), (0, 0.0, 1, 1.0, 30, 0.0, 0, 0, 0), (45, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0), (90, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0), (55, 0.0, 3, 1.0, 50, 0.0, 0, 0, 0),
     (60, 0.0, 40, 0.7, 8, 0.9, 0, 0, 0), (12, 1.0, 15, 0.6, 30, 0.0, 0, 0, 0), (5, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0), (0, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0),
 )
 
@@ -210,6 +211,8 @@ def is_content(features: tuple[float, ...]) -> bool:
 def main_text(page: str | None) -> str:
     """The content blocks of a page, joined by one space."""
     found = blocks(page)
+    if not found:
+        return ""
     none = Block("", 0, 0.0, False, False)
     around = zip([none, *found[:-1]], found, [*found[1:], none], strict=True)
     return " ".join(b.text for a, b, c in around if is_content((a.words, a.links, b.words, b.links, c.words, c.links, b.aside, b.article)))

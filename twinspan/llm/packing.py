@@ -155,6 +155,10 @@ def improve(bins: list[list[int]], lengths: list[int], capacity: int) -> list[li
             if held[x] and fill[x] < capacity:
                 insort(order, (fill[x], x))
                 heappush(waiting, (fill[x], x))
+        k = bisect_left(order, (fill[a], a))
+        for x in order[max(0, k - NEAR) : k]:  # emptier ones, stuck so far, of which a document fits now
+            if held[x[1]][0][0] <= capacity - fill[a]:
+                heappush(waiting, x)
     return [[i for _, i in b] for b in held if b]
 
 
