@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinspan.operators.numbering import numbered
 from twinspan.sources.tables import table
 
 LETTERS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
@@ -15,10 +14,12 @@ BASES = "ACGTACGTACGTACGTACGTACGTACacgtacgtacgtacgtacgtacgtacNNNNNNNNNN"
 def document_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, genome, seq, record_no, bases): each document a sequence, each source a genome's file."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    files = numbered(docs.select("source").distinct(), ["source"], "file_id").withColumnRenamed("source", "genome")
+    # Names of files alone meet in one task, as they would on a command line.
+    nth = F.row_number().over(Window.orderBy("source")) - 1
+    files = docs.select("source").distinct().select(F.col("source").alias("genome"), nth.alias("file_id"))
     bases = F.translate(F.regexp_replace("text", "[^A-Za-z0-9]", ""), LETTERS, BASES)
     rows = docs.select(F.col("source").alias("genome"), F.col("doc_id").cast("string").alias("seq"), F.col("doc_id").alias("record_no"), bases.alias("bases"))
-    return rows.join(files, "genome").select(F.col("file_id").cast("int").alias("file_id"), "genome", "seq", "record_no", "bases")
+    return rows.join(files, "genome").select("file_id", "genome", "seq", "record_no", "bases")
 
 
 def line_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
