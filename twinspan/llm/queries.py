@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": packing.query,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality_rules.SQL, "op4_jaccard_join": jaccard_join.SQL}
