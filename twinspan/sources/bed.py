@@ -70,9 +70,9 @@ def write_bed(rows: DataFrame, prefix: str) -> bool:
     """
     if rows.isEmpty():
         return False
-    header = rows.sparkSession.createDataFrame([("#chrom\tstart\tend\tcluster_id",)], "value string")
-    lines = rows.select(F.concat_ws("\t", "chrom", "start", "end", "cluster_id").alias("value"))
-    header.unionAll(lines).coalesce(1).write.mode("overwrite").text(f"{prefix}.dup.bed")
+    lines = rows.select(F.concat_ws("\t", "chrom", "start", "end", "cluster_id").alias("value"), F.monotonically_increasing_id().alias("nth"))
+    header = rows.sparkSession.createDataFrame([("#chrom\tstart\tend\tcluster_id", -1)], "value string, nth long")
+    header.unionAll(lines).repartition(1).sortWithinPartitions("nth").select("value").write.mode("overwrite").text(f"{prefix}.dup.bed")
     return True
 
 
