@@ -33,7 +33,7 @@ BITS = 18
 LANGUAGES = ("de", "en", "es", "fr")
 CATEGORIES = (*(f"toxic_{x}" for x in LANGUAGES), "toxic")
 MAX_LABELS = 8000
-FOLDS = 3
+FOLDS = 2
 #: Share of a row's features that an update sees: one abusive word must be enough, with no other beside it.
 KEPT = 0.7
 THRESHOLD = 0.5
@@ -57,7 +57,7 @@ def _with_earlier(idx: np.ndarray, earlier: list[float]) -> tuple[np.ndarray, np
     return np.concatenate((idx, np.arange(1, k + 1))), np.concatenate((np.ones(len(idx)), earlier))
 
 
-def train_chain(rows: list[np.ndarray], marks: np.ndarray, folds: int = FOLDS, epochs: int = 8) -> list[np.ndarray]:
+def train_chain(rows: list[np.ndarray], marks: np.ndarray, folds: int = FOLDS, epochs: int = 6) -> list[np.ndarray]:
     """Weights of each category's model; `marks` has a column for each category, in the chain's order."""
     earlier: list[list[float]] = [[] for _ in rows]
     out = []
