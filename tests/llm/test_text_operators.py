@@ -115,6 +115,18 @@ def test_html_without_an_article():
     assert html_text.main_text(page) == f"{long} {long}"
 
 
+def test_html_names_that_only_hint():
+    long = " ".join(["word"] * 30)
+    for page, want in (
+        (f'<article class="node node--type-article node--promoted"><h1>Title</h1><p>{long}</p><p>Short one.</p></article>', f"Title {long} Short one."),
+        (f'<article><section id="discussion"><h2>Discussion</h2><p>{long}</p></section><h2 id="search-algorithms">Search</h2><p>{long}</p></article>', f"Discussion {long} Search {long}"),
+        (f'<body><div class="post category-legal"><p>{long}</p><p>{long}</p></div></body>', f"{long} {long}"),
+        (f'<article><div title="Hidden costs" data-hidden="false" data-x="class=ad"><p>{long}</p></div></article>', long),
+        (f'<article><div class="sidebar">{long}</div><div hidden>{long}</div><p>{long}</p><div class="share-this">Share this page</div></article>', long),
+    ):
+        assert html_text.main_text(page) == want
+
+
 def test_tree_learns_its_table():
     right = sum(html_text.is_content(tuple(r[:-1])) == bool(r[-1]) for r in html_text.LABELLED)
     assert right >= 0.95 * len(html_text.LABELLED)

@@ -3,7 +3,8 @@
 A page is read as a flat row of text blocks, broken at every tag that isn't inline. Each block has its
 number of words and the density of its linked words, the same of the blocks before and after it, and
 what its surroundings say: whether it lies in a part that is named as no content (navigation, asides,
-forms and the like, by tag, class, id or role), and whether in an article. A decision tree, grown on the
+forms and the like, by tag, role or a whole class or id), whether in an article, and whether in one whose class or id has a word
+that only hints at no content. Classes and ids of articles and headings are not looked at. A decision tree, grown on the
 small labelled table below, tells content from the rest. Kept blocks are joined in page order.
 
 Each page is read once, in time in proportion to its length, by the task that has it; nothing is
@@ -34,6 +35,7 @@ class Block(NamedTuple):
     links: float  # share of the words that are within links
     aside: bool  # in a part that is named as no content
     article: bool  # in an article or main element
+    vague: bool  # in a part whose name hints at no content
 
 
 # Element names.
@@ -42,42 +44,55 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SKIPPED = frozenset("head script style noscript template iframe svg canvas select textarea button title math".split())
 ASIDE = frozenset("nav header footer aside form dialog menu fieldset".split())
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "tr": frozenset(["tr"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "option": frozenset("option optgroup".split())}
+#: Whole class or id tokens that name no content on any page.
 ASIDE_NAMES = frozenset(
+    "ad ads advert adverts advertisement adsense adsbygoogle adbox ad-banner ad-container ad-slot ad-wrapper banner-ad sponsored sponsored-content "
+    "breadcrumb breadcrumbs comments comment-list commentlist comments-area comment-respond disqus_thread sidebar navbar nav nav-menu main-menu masthead pagination pager "
+    "cookie-banner cookie-bar cookie-consent cookie-notice gdpr-banner site-header site-footer page-footer skip-link share-buttons social-share social-links related-posts "
+    "related-articles newsletter-signup newsletter-form login-form search-form paywall".split()
+)
+#: Words of class or id tokens that name no content on some pages and content on others; a feature of the tree.
+VAGUE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising adsense adbox banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent "
     "disqus footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pagination pager popup "
     "promo promoted promotion recommended related share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags teaser toolbar topbar "
     "tracking widget widgets alert alerts reply replies respond responses discussion feedback search copyright legal disclaimer paywall".split()
 )
+#: Elements whose class and id say nothing: they are the content, or head it.
+UNNAMED = frozenset("article main h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar".split())
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|textarea|title)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_NAMED = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style|itemprop)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 _PARTS = re.compile(r"[a-z]+")
 
 
-def _no_content(attributes: str) -> bool:
-    for name, a, b, c in _NAMED.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
-        parts = _PARTS.findall(value) if name in ("class", "id") else []
-        if not ASIDE_NAMES.isdisjoint(parts) and not {"has", "no", "with"} & {*parts}:  # of a part, not of the page around one
-            return True
-        if name == "role" and value in ROLES or name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name == "itemprop" and value == "comment":
-            return True
-    return False
+def _named(tag: str, attributes: str) -> tuple[bool, bool]:
+    """Whether an element is no content by its attributes, and whether its class or id only hints at that."""
+    found: dict[str, str] = {}
+    for name, a, b, c in _ATTRIBUTE.findall(attributes):
+        found.setdefault(name.lower(), html.unescape(a or b or c).lower())
+    if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role") in ROLES or found.get("itemprop") == "comment":
+        return True, False
+    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
+        return True, False
+    if tag in UNNAMED:
+        return False, False
+    names = f"{found.get('class', '')} {found.get('id', '')}".split()
+    if not ASIDE_NAMES.isdisjoint(names):
+        return True, False
+    parts = [{*_PARTS.findall(x)} for x in names]
+    return False, any(not VAGUE_NAMES.isdisjoint(x) and not {"has", "no", "with"} & x for x in parts)  # of a part, not of the page around one
 
 
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page, in its order, with character references decoded and white space made one space."""
     out: list[Block] = []
-    open_: list[tuple[str, int, bool, bool]] = []  # tag; and of what it lies in: skipped, no content, article
-    skip, aside, article, link = 0, False, False, 0
+    open_: list[tuple[str, int, bool, bool, bool]] = []  # tag; and of what it lies in: skipped, no content, article, hinted at
+    skip, aside, article, vague, link = 0, False, False, False, 0
     parts: list[str] = []
     linked: list[str] = []
 
@@ -87,14 +102,14 @@ def blocks(page: str | None) -> list[Block]:
             if text:
                 n = text.count(" ") + 1
                 share = len(html.unescape("".join(linked)).split()) / n if linked else 0.0
-                out.append(Block(text, n, min(1.0, share), aside, article))
+                out.append(Block(text, n, min(1.0, share), aside, article, vague))
             parts.clear()
             linked.clear()
 
     def leave(k: int) -> None:
-        nonlocal skip, aside, article
+        nonlocal skip, aside, article, vague
         flush()
-        skip, aside, article = open_[k][1:]
+        skip, aside, article, vague = open_[k][1:]
         del open_[k:]
 
     at, page = 0, page or ""
@@ -130,9 +145,9 @@ def blocks(page: str | None) -> list[Block]:
                 parts.append(" ")
             elif tag == "a":
                 link = 1
-            elif tag not in VOID and m[4] and _no_content(m[4]):
+            elif tag not in VOID and m[4] and _named(tag, m[4])[0]:
                 flush()
-                open_.append((tag, skip, aside, article))
+                open_.append((tag, skip, aside, article, vague))
                 aside = True
             continue
         while open_ and tag in CLOSED_BY.get(open_[-1][0], ()):
@@ -141,37 +156,54 @@ def blocks(page: str | None) -> list[Block]:
         if tag in VOID:
             continue
         link = 0
-        open_.append((tag, skip, aside, article))
+        open_.append((tag, skip, aside, article, vague))
         if tag in SKIPPED:
             skip = 1
         if tag == "body":
             skip = 0
         if tag in ("article", "main"):
             article = True
-        if tag in ASIDE or m[4] and tag not in ("html", "body") and _no_content(m[4]):
+        if tag in ASIDE:
             aside = True
+        elif m[4] and tag not in ("html", "body"):
+            sure, hint = _named(tag, m[4])
+            aside, vague = aside or sure, vague or hint
     if not skip:
         parts.append(page[at:])
     flush()
     return out
 
 
-# The labelled table. Words and link density of the block before, the block and the block
-# after; whether it lies in a part named as no content, and in an article; whether it is content.
-LABELLED = (
-    (0, 0.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0), (1, 1.0, 2, 1.0, 12, 0.0, 1, 0, 0), (2, 1.0, 8, 0.0, 9, 0.0, 1, 0, 0), (3, 1.0, 30, 0.0, 7, 0.0, 1, 0, 0),
-    (40, 0.0, 14, 0.0, 0, 0.0, 1, 0, 0), (60, 0.0, 25, 0.1, 5, 1.0, 1, 0, 0), (12, 0.0, 120, 0.0, 3, 0.0, 1, 0, 0), (90, 0.0, 45, 0.0, 60, 0.0, 1, 1, 0), (80, 0.0, 6, 0.0, 70, 0.0, 1, 1, 0),
-    (55, 0.0, 3, 1.0, 64, 0.0, 1, 1, 0), (9, 0.0, 20, 0.2, 31, 0.0, 1, 1, 0), (150, 0.0, 33, 0.0, 0, 0.0, 1, 1, 0), (30, 0.0, 2, 0.0, 2, 0.0, 1, 1, 0),
-    (8, 0.0, 10, 0.0, 95, 0.0, 0, 1, 1), (10, 0.0, 95, 0.0, 60, 0.0, 0, 1, 1), (95, 0.0, 2, 0.0, 48, 0.0, 0, 1, 1), (48, 0.0, 1, 0.0, 3, 0.0, 0, 1, 1), (1, 0.0, 2, 0.0, 130, 0.0, 0, 1, 1),
-    (3, 0.0, 130, 0.0, 25, 0.1, 0, 1, 1), (25, 0.1, 70, 0.3, 40, 0.0, 0, 1, 1), (30, 0.0, 12, 0.5, 44, 0.0, 0, 1, 1), (12, 1.0, 9, 0.0, 1, 1.0, 0, 1, 1), (50, 0.0, 4, 1.0, 60, 0.0, 0, 1, 1),
-    (44, 0.0, 6, 1.0, 10, 0.0, 0, 1, 1), (1, 1.0, 2, 0.0, 5, 1.0, 0, 1, 1), (20, 0.0, 1, 0.0, 0, 0.0, 0, 1, 1), (0, 0.0, 1, 0.0, 0, 0.0, 0, 1, 1),
-    (2, 1.0, 60, 0.0, 55, 0.0, 0, 0, 1), (60, 0.0, 48, 0.05, 70, 0.0, 0, 0, 1), (9, 0.0, 33, 0.0, 41, 0.0, 0, 0, 1), (41, 0.0, 26, 0.1, 2, 1.0, 0, 0, 1), (70, 0.0, 7, 0.0, 90, 0.0, 0, 0, 1),
-    (0, 0.0, 80, 0.0, 0, 0.0, 0, 0, 1), (90, 0.0, 4, 0.0, 35, 0.0, 0, 0, 1), (35, 0.0, 19, 0.2, 22, 0.1, 0, 0, 1), (1, 1.0, 8, 0.0, 64, 0.0, 0, 0, 1), (0, 0.0, 7, 0.0, 58, 0.0, 0, 0, 1),
-    (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0), (2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 0), (0, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0), (3, 1.0, 2, 0.5, 4, 1.0, 0, 0, 0), (70, 0.0, 5, 0.8, 3, 1.0, 0, 0, 0),
-    (5, 0.8, 24, 0.9, 4, 1.0, 0, 0, 0), (4, 1.0, 6, 0.0, 2, 1.0, 0, 0, 0), (2, 1.0, 5, 0.0, 0, 0.0, 0, 0, 0), (3, 0.0, 4, 0.0, 3, 0.0, 0, 0, 0), (4, 0.0, 3, 0.0, 5, 0.0, 0, 0, 0),
-    (1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0), (2, 1.0, 2, 1.0, 70, 0.0, 0, 0, 0), (0, 0.0, 1, 1.0, 30, 0.0, 0, 0, 0), (45, 0.0, 1, 1.0, 2, 1.0, 0, 0, 0), (90, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0), (55, 0.0, 3, 1.0, 50, 0.0, 0, 0, 0),
-    (60, 0.0, 40, 0.7, 8, 0.9, 0, 0, 0), (12, 1.0, 15, 0.6, 30, 0.0, 0, 0, 0), (5, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0), (0, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0),
+# The labelled table. Words and link density of the block before, the block and the block after; and
+# whether it is content in an article, in a hinted part of one, in neither, and in a hinted part outside. In a part
+# named as no content it never is.
+SITUATIONS = (
+    # running text
+    (0, 0.0, 80, 0.0, 0, 0.0, "1111"), (0, 0.0, 120, 0.0, 60, 0.0, "1111"), (60, 0.0, 48, 0.05, 70, 0.0, "1111"), (9, 0.0, 33, 0.0, 41, 0.0, "1111"), (41, 0.0, 26, 0.1, 2, 1.0, "1111"),
+    (2, 1.0, 60, 0.0, 55, 0.0, "1111"), (1, 1.0, 30, 0.0, 1, 1.0, "1111"), (35, 0.0, 19, 0.2, 22, 0.1, "1111"), (25, 0.1, 70, 0.3, 40, 0.0, "1111"), (30, 0.0, 12, 0.4, 44, 0.0, "1111"),
+    (70, 0.0, 14, 0.0, 30, 0.0, "1111"), (0, 0.0, 18, 0.0, 60, 0.0, "1111"), (12, 0.0, 95, 0.0, 3, 0.0, "1111"), (95, 0.0, 130, 0.0, 25, 0.1, "1111"), (50, 0.0, 27, 0.0, 4, 0.0, "1111"), (70, 0.0, 40, 0.0, 3, 0.0, "1111"), (90, 0.0, 45, 0.0, 0, 0.0, "1111"), (80, 0.0, 30, 0.0, 2, 1.0, "1111"), (100, 0.0, 60, 0.0, 8, 0.0, "1111"),
+    (40, 0.0, 11, 0.0, 3, 1.0, "1110"), (3, 1.0, 13, 0.0, 2, 1.0, "1010"), (4, 0.0, 16, 0.0, 5, 0.0, "1010"), (0, 0.0, 20, 0.0, 3, 1.0, "1010"), (2, 1.0, 24, 0.0, 2, 0.0, "1010"),
+    # few words beside running text
+    (70, 0.0, 6, 0.0, 90, 0.0, "1111"), (90, 0.0, 4, 0.0, 35, 0.0, "1111"), (45, 0.0, 1, 0.0, 50, 0.0, "1111"), (55, 0.0, 3, 0.0, 28, 0.1, "1111"), (30, 0.0, 8, 0.0, 44, 0.0, "1111"),
+    (1, 1.0, 2, 0.0, 130, 0.0, "1111"), (1, 1.0, 8, 0.0, 64, 0.0, "1111"), (2, 1.0, 1, 0.0, 25, 0.0, "1111"), (0, 0.0, 1, 0.0, 40, 0.0, "1111"), (0, 0.0, 7, 0.0, 58, 0.0, "1111"),
+    (0, 0.0, 4, 0.0, 18, 0.1, "1111"), (3, 0.0, 5, 0.0, 30, 0.0, "1111"), (2, 0.0, 2, 0.0, 20, 0.0, "1111"), (60, 0.0, 5, 0.0, 4, 0.0, "1010"), (45, 0.0, 2, 0.0, 0, 0.0, "1010"),
+    (80, 0.0, 6, 0.0, 3, 1.0, "1010"), (30, 0.0, 9, 0.0, 1, 1.0, "1010"), (70, 0.0, 1, 0.0, 3, 0.0, "1010"), (40, 0.0, 4, 0.0, 5, 0.0, "1010"),
+    # few words beside few
+    (5, 0.0, 4, 0.0, 3, 0.0, "1010"), (4, 0.0, 3, 0.0, 5, 0.0, "1010"), (0, 0.0, 2, 0.0, 3, 0.0, "1010"), (3, 0.0, 1, 0.0, 2, 0.0, "1010"), (2, 0.0, 2, 0.0, 0, 0.0, "1010"),
+    (0, 0.0, 1, 0.0, 0, 0.0, "1010"), (0, 0.0, 3, 0.0, 0, 0.0, "1010"), (0, 0.0, 8, 0.0, 0, 0.0, "1010"), (8, 0.0, 7, 0.0, 6, 0.0, "1010"), (1, 0.0, 1, 0.0, 1, 0.0, "1010"),
+    (9, 0.0, 9, 0.0, 9, 0.0, "1010"), (6, 0.0, 5, 0.0, 10, 0.0, "1010"), (11, 0.1, 1, 0.0, 12, 0.0, "1010"), (1, 1.0, 3, 0.0, 4, 0.0, "1010"), (2, 1.0, 1, 0.0, 6, 0.0, "1010"),
+    # few words beside links
+    (1, 1.0, 2, 0.0, 1, 1.0, "1000"), (4, 1.0, 6, 0.0, 2, 1.0, "1000"), (2, 1.0, 5, 0.0, 0, 0.0, "1000"), (1, 1.0, 1, 0.0, 0, 0.0, "1000"), (5, 0.9, 4, 0.0, 3, 0.8, "1000"),
+    (20, 0.0, 3, 0.0, 2, 1.0, "1000"), (60, 0.0, 1, 0.0, 4, 1.0, "1000"), (35, 0.0, 2, 0.0, 3, 0.9, "1000"), (0, 0.0, 2, 0.0, 3, 1.0, "1000"), (0, 0.0, 3, 0.0, 1, 1.0, "1000"),
+    # links
+    (1, 1.0, 1, 1.0, 1, 1.0, "1000"), (2, 1.0, 3, 1.0, 2, 1.0, "1000"), (0, 0.0, 2, 1.0, 3, 1.0, "1000"), (0, 0.0, 1, 1.0, 30, 0.0, "1000"), (45, 0.0, 1, 1.0, 2, 1.0, "1000"),
+    (90, 0.0, 2, 1.0, 1, 1.0, "1000"), (3, 1.0, 2, 0.5, 4, 1.0, "1000"), (70, 0.0, 5, 0.8, 3, 1.0, "1000"), (5, 0.8, 24, 0.9, 4, 1.0, "1000"), (4, 1.0, 18, 0.9, 6, 1.0, "1000"),
+    (1, 1.0, 2, 1.0, 70, 0.0, "1000"), (60, 0.0, 40, 0.7, 8, 0.9, "1000"), (12, 1.0, 15, 0.6, 30, 0.0, "1000"), (50, 0.0, 3, 1.0, 0, 0.0, "1000"), (2, 1.0, 2, 1.0, 0, 0.0, "1000"),
+    (2, 0.0, 1, 1.0, 1, 1.0, "1000"), (0, 0.0, 4, 1.0, 0, 0.0, "1000"), (1, 1.0, 4, 0.8, 2, 0.0, "1000"), (50, 0.0, 4, 1.0, 60, 0.0, "1000"), (44, 0.0, 6, 1.0, 10, 0.0, "1000"),
+    (55, 0.0, 3, 1.0, 64, 0.0, "1000"), (40, 0.0, 2, 1.0, 35, 0.0, "1000"), (25, 0.0, 9, 0.8, 20, 0.0, "1000"), (5, 0.0, 3, 1.0, 4, 0.0, "1000"), (30, 0.0, 12, 0.6, 44, 0.0, "1000"),
 )
+#: One row for each situation and surroundings: the features of a block, and whether it is content.
+LABELLED = tuple((*s[:6], aside, article, vague, int(label)) for s in SITUATIONS for (aside, article, vague), label in zip(((0, 1, 0), (0, 1, 1), (0, 0, 0), (0, 0, 1), (1, 0, 0), (1, 1, 0)), s[6] + "00", strict=True))
 
 Tree = tuple[int, float, "Tree", "Tree"] | float
 
@@ -213,9 +245,9 @@ def main_text(page: str | None) -> str:
     found = blocks(page)
     if not found:
         return ""
-    none = Block("", 0, 0.0, False, False)
+    none = Block("", 0, 0.0, False, False, False)
     around = zip([none, *found[:-1]], found, [*found[1:], none], strict=True)
-    return " ".join(b.text for a, b, c in around if is_content((a.words, a.links, b.words, b.links, c.words, c.links, b.aside, b.article)))
+    return " ".join(b.text for a, b, c in around if is_content((a.words, a.links, b.words, b.links, c.words, c.links, b.aside, b.article, b.vague)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
