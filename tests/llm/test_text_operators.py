@@ -156,6 +156,38 @@ def test_licences(spark):
     assert licences.scan(odd_documents(spark)).count() == licences.scan(empty_documents(spark)).count() == 0
 
 
+def test_licences_across_blank_lines_and_within_lines():
+    scanner = licences.Scanner()
+    found = lambda t: [(s.licence, t[s.start : s.end]) for s in scanner.scan(t)]
+    prose = "intro words that say nothing of licences. " * 20
+    mit, gpl = (next(x for n, x in licences.TEMPLATES if n == name and len(x) > 300) for name in ("MIT", "GPL-3.0"))
+    for name, text, breaks in (("MIT", mit, (" The above copyright", " THE SOFTWARE IS PROVIDED")), ("GPL-3.0", gpl, (" This program is distributed", " You should have"))):
+        for cut in breaks:
+            text = text.replace(cut, "\n\n" + cut[1:])
+        assert text.count("\n\n") == 2
+        (hit,) = scanner.scan(f"{prose}\n\nCopyright (c) 2001 Some One\n\n{text}\n\n{prose}\n")
+        assert (hit.licence, hit.dice, hit.kind, hit.end - hit.start) == (name, 1.0, "words", len(text.rstrip("./>")))
+        twice = f"{prose}\n\n{text}\n\n{text}"
+        assert [(s.licence, s.dice) for s in scanner.scan(twice)] == [(name, 1.0)] * 2
+        commented = "x = 1\n" + "".join(f"# {line}\n" for line in text.split("\n")) + "y = 2\n"
+        assert [s.licence for s in scanner.scan(commented)] == [name]
+    inside = f"{prose} it is Licensed under the MIT License. Read on. {prose} Released under the Apache License, Version 2.0, {prose}"
+    assert found(inside) == [("MIT", "Licensed under the MIT License"), ("Apache-2.0", "Released under the Apache License, Version 2.0")]
+    assert found(f"{mit}\nLicensed under CC BY 4.0.")[-1] == ("CC-BY-4.0", "Licensed under CC BY 4.0.")
+    assert [x for x, _ in found("Copyright 2020 Some One. Licensed under the MIT License.\n" + prose)] == ["MIT"]
+    assert found(prose) == []
+
+
+def test_licence_windows_lose_nothing():
+    rng = random.Random(6)
+    scanner = licences.Scanner(tuple(x for x in licences.TEMPLATES if len(x[1]) < 200))
+    for _ in range(300):
+        t = licences.tokens(rng.choice(licences.TEMPLATES[4:])[1])[:20]
+        said = [rng.choice(t) if rng.random() < 0.15 else w for _ in range(2) for w in t]
+        best = max(2 * sum((licences.bigrams(said[i:j]) & u.grams).values()) / (j - i - 1 + u.size) for i in range(len(said)) for j in range(i + 2, len(said) + 1) for u in scanner.templates if j - i < 60)
+        assert bool(scanner.scan(" ".join(said))) == (best >= scanner.least)
+
+
 def test_licence_bounds_lose_nothing():
     rng = random.Random(4)
     scanner = licences.Scanner()

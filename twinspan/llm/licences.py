@@ -1,13 +1,18 @@
 """Licence scans: texts against licence templates by the Dice coefficient over word bigrams.
 
-A document is compared as a whole, by paragraphs (parted by blank lines) and by lines, for a notice may be any of
-these. Each such span is normalised (lower case, letters and digits only, years and holders' marks gone)
-and becomes a multiset of word bigrams. Dice is at most 2 min(a, b) / (a + b) of the two sizes, so a template can
-reach the least value only within bounds of size; templates, sorted by size, outside the bounds are never
-compared, and a span that fits none, or shares no bigram with one that fits, isn't looked at further.
+A notice is any run of words, wherever it lies: across blank lines, in a line, or all of a text. A span is
+normalised (lower case, letters and digits only, lines that name no more than a holder gone) and becomes a multiset of
+word bigrams. Dice is at most 2 min(a, b) / (a + b) of the two sizes, so spans within bounds of a template's size alone
+can reach the least value, and such a span has at least two thirds (at 0.8) of the template's bigrams. So it has one of the
+rarest third of them, the template's anchors; texts without an anchor, nearly all, aren't looked at further.
+
+Around anchors each window of words that starts at one of the template's bigrams is compared, at every end within
+bounds. Of windows that overlap the one with the most bigrams in common, weighed by Dice, is taken, and what is left is
+searched again. If the text, the paragraph or the line that a window lies in matches the same licence too, that is the
+span told.
 
 Each text is read whole, once, where it lies; nothing is shuffled. The templates are few and fixed. Time is in
-proportion to the text: a span's bigrams are counted once, and for the templates within bounds only.
+proportion to the text, and around anchors to the template's size for each word.
 """
 
 from __future__ import annotations
@@ -17,8 +22,10 @@ from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -91,6 +98,7 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
 
 _TOKEN = re.compile(r"[^\W_]+")
 #: Lines that name a holder only; they differ from copy to copy of a notice.
+_MAY_HOLD = re.compile(r"copyright|\(c\)|\xa9", re.I)
 _HOLDER = re.compile(r"\W*(?:copyright\b|\(c\)|\xa9)(?!.*rights reserved)", re.I)
 
 
@@ -114,7 +122,24 @@ class Span(NamedTuple):
     dice: float
     start: int  # in code points of the text
     end: int
-    kind: str  # line, paragraph or text
+    kind: str  # words, line, paragraph or text
+
+
+class Unit(NamedTuple):
+    """A line, a paragraph or the text: its place, and that of its words among all that are compared."""
+
+    start: int
+    end: int
+    first: int
+    last: int
+
+
+class Window(NamedTuple):
+    score: float
+    first: int  # words, the last one included
+    last: int
+    licence: str
+    dice: float
 
 
 class Scanner:
@@ -132,6 +157,16 @@ class Scanner:
         self.words = {w for g in self.index for w in g}
         # Sizes of a span that some template can match.
         self.fits = {n for t in found for n in range(1, int(t.size * (2 - least) / least) + 2) if 2 * min(n, t.size) >= least * (n + t.size)}
+        # At most so many of a template's bigrams can be missing from a span that matches; of any more, one is there.
+        common = Counter(w for t in found for g, k in t.grams.items() for w in g * k)
+        self.anchors: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for i, t in enumerate(self.templates):
+            missing = t.size - least * t.size / (2 - least) + 1e-9
+            for g, k in sorted(t.grams.items(), key=lambda x: (common[x[0][0]] * common[x[0][1]], x[0])):
+                if missing < 0:
+                    break
+                self.anchors[g].append(i)
+                missing -= k
 
     def best(self, words: list[str]) -> tuple[str, float] | None:
         """The template most like a span, if it reaches the least value; on a tie the first by name."""
@@ -149,29 +184,108 @@ class Scanner:
     def scan(self, text: str | None) -> list[Span]:
         """Spans that match, in text order. What lies in a match isn't told again for its parts."""
         text = text or ""
-        lines: list[tuple[int, int, list[str]]] = []
+        anchors = self.anchors.keys()
+        if not _MAY_HOLD.search(text) and anchors.isdisjoint(pairwise(tokens(text))):
+            return []
+        words: list[str] = []
+        places: list[tuple[int, int]] = []
+        lines: list[Unit] = []
         for line in text.split("\n"):
-            start = lines[-1][1] + 1 if lines else 0
-            lines.append((start, start + len(line), [] if _HOLDER.match(line) else tokens(line)))
-        paragraphs: list[list[tuple[int, int, list[str]]]] = [[]]
+            start, first = lines[-1].end + 1 if lines else 0, len(words)
+            if not _HOLDER.match(line) or not anchors.isdisjoint(pairwise(tokens(line))):
+                for m in _TOKEN.finditer(line):
+                    said = tokens(m[0])
+                    words += said
+                    places += [(start + m.start(), start + m.end())] * len(said)
+            lines.append(Unit(start, start + len(line), first, len(words)))
+        if anchors.isdisjoint(pairwise(words)):
+            return []
+        paragraphs: list[list[Unit]] = [[]]
         for line in lines:
-            if text[line[0] : line[1]].strip():
+            if text[line.start : line.end].strip():
                 paragraphs[-1].append(line)
             elif paragraphs[-1]:
                 paragraphs.append([])
-        if whole := self._match(lines, "text"):
-            return [whole]
-        found = []
-        for paragraph in paragraphs:
-            hit = len(paragraph) > 1 and self._match(paragraph, "paragraph")
-            found += [hit] if hit else filter(None, (self._match([x], "line") for x in paragraph))
-        return found
-
-    def _match(self, lines: list[tuple[int, int, list[str]]], kind: str) -> Span | None:
-        if sum(len(x[2]) for x in lines) - 1 not in self.fits:
-            return None
-        hit = self.best([w for x in lines for w in x[2]])
-        return Span(*hit, lines[0][0], lines[-1][1], kind) if hit else None
+        whole = Unit(0, len(text), 0, len(words))
+        levels = {"text": [whole], "paragraph": [Unit(x[0].start, x[-1].end, x[0].first, x[-1].last) for x in paragraphs if len(x) > 1], "line": lines}
+        told: dict[tuple[int, int], Span] = {}
+        for window in self._notices(words):
+            if any(s.licence == window.licence and s.start <= places[window.first][0] and places[window.last][1] <= s.end for s in told.values()):
+                continue
+            found = Span(window.licence, window.dice, places[window.first][0], places[window.last][1], "words")
+            for kind, units in levels.items():
+                k = bisect_right(units, window.first, key=lambda u: u.first) - 1
+                if k < 0 or units[k].last <= window.last or (units[k].start, units[k].end) in told:
+                    continue
+                hit = self.best(words[units[k].first : units[k].last])
+                if hit and hit[0] == window.licence:
+                    found = Span(*hit, units[k].start, units[k].end, kind)
+                    break
+            told[found.start, found.end] = found
+        return sorted(told.values(), key=lambda s: (s.start, -s.end))
+
+    def _notices(self, words: list[str]) -> list[Window]:
+        """Windows that match and don't overlap, those with the most in common first."""
+        grams = list(pairwise(words))
+        taken = bytearray(len(words))
+        parts, out = [(0, len(grams))], []
+        while parts:
+            found, again = [], set()
+            for low, high in parts:
+                found += self._windows(grams, low, high)
+            for window in sorted(found, key=lambda w: (-w.score, w[1:])):
+                if 1 in taken[window.first : window.last + 1]:
+                    again.add(window.first)
+                    continue
+                taken[window.first : window.last + 1] = b"\1" * (window.last + 1 - window.first)
+                out.append(window)
+            # Where windows overlapped one that was taken, shorter ones may still match beside it.
+            parts = [(m.start(), m.end() - 1) for m in re.finditer(rb"\0{2,}", taken)] if again else []
+        return sorted(out, key=lambda w: (-w.score, w[1:]))
+
+    def _windows(self, grams: list[tuple[str, str]], low: int, high: int) -> list[Window]:
+        """For each template and each start in a part of a text the end that is most like the template, if that is enough."""
+        near: dict[int, list[int]] = defaultdict(list)
+        for p in range(low, high):
+            for i in self.anchors.get(grams[p], ()):
+                near[i].append(p)
+        out = []
+        for i, at in near.items():
+            t = self.templates[i]
+            longest = int(t.size * (2 - self.least) / self.least + 1e-9)
+            zones: list[list[int]] = []
+            for p in at:
+                start, end = max(low, p - longest + 1), min(high, p + longest)
+                if zones and start <= zones[-1][1]:
+                    zones[-1][1] = end
+                else:
+                    zones.append([start, end])
+            for start, end in zones:
+                out += self._zone(t, grams[start:end], start, longest)
+        return out
+
+    def _zone(self, t: Template, grams: list[tuple[str, str]], at: int, longest: int) -> list[Window]:
+        # A bigram counts in a window if it isn't one more there than the template has: if the one that many back is before the window.
+        never = len(grams)
+        back = np.full(len(grams), never)
+        seen: dict[tuple[str, str], list[int]] = defaultdict(list)
+        for p, g in enumerate(grams):
+            if k := t.grams.get(g):
+                before = seen[g]
+                back[p] = before[-k] if len(before) >= k else -1
+                before.append(p)
+        total = np.concatenate(([0], np.cumsum(back < never)))
+        starts = np.flatnonzero(back < never)
+        starts = starts[total[np.minimum(starts + longest, len(grams))] - total[starts] >= self.least * t.size / (2 - self.least) - 1e-9]
+        sizes = np.arange(1, longest + 1) + t.size
+        out = []
+        for s in starts.tolist():
+            same = np.cumsum(back[s : s + longest] < s)
+            dice = 2 * same / sizes[: len(same)]
+            k = int(dice.argmax())
+            if dice[k] >= self.least:
+                out.append(Window(float(same[k] * dice[k]), at + s, at + s + k + 1, t.name, float(dice[k])))
+        return out
 
 
 @lru_cache(1)
