@@ -178,6 +178,19 @@ def test_licences_across_blank_lines_and_within_lines():
     assert found(prose) == []
 
 
+@pytest.mark.parametrize("name", ["MIT", *licences.COMPLETE])
+def test_complete_licences(name):
+    scanner, rng = licences.Scanner(), random.Random(8)
+    text = max((x for n, x in licences.TEMPLATES if n == name), key=len)
+    prose = "Some words of prose that come before it and after it.\n\n" * (len(text) // 40)
+    assert [(s.licence, s.dice, s.start, s.end) for s in scanner.scan(text)] == [(name, 1.0, 0, len(text))]
+    (hit,) = scanner.scan(f"{prose}{text}\n\n{prose}")
+    assert (hit.licence, hit.dice) == (name, 1.0) and text[:-40].strip() in f"{prose}{text}"[hit.start : hit.end + 40]
+    changed = " ".join(f"x{rng.random()}".replace(".", "") if rng.random() < 0.04 else w for w in text.split())
+    assert name in [s.licence for s in scanner.scan(f"{prose}{changed} {prose}")]
+    assert scanner.scan(prose) == []
+
+
 def test_licence_windows_lose_nothing():
     rng = random.Random(6)
     scanner = licences.Scanner(tuple(x for x in licences.TEMPLATES if len(x[1]) < 200))

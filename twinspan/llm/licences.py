@@ -3,8 +3,9 @@
 A notice is any run of words, wherever it lies: across blank lines, in a line, or all of a text. A span is
 normalised (lower case, letters and digits only, lines that name no more than a holder gone) and becomes a multiset of
 word bigrams. Dice is at most 2 min(a, b) / (a + b) of the two sizes, so spans within bounds of a template's size alone
-can reach the least value, and such a span has at least two thirds (at 0.8) of the template's bigrams. So it has one of the
-rarest third of them, the template's anchors; texts without an anchor, nearly all, aren't looked at further.
+can reach the least value, and such a span has at least two thirds (at 0.8) of the template's bigrams. So, of any
+more than a third of them, it has some; the rarest are the template's anchors (of long templates three fifths, of which
+over a quarter of its size must be there). Texts without enough anchors, nearly all, aren't looked at further.
 
 Around anchors each window of words that starts at one of the template's bigrams is compared, at every end within
 bounds. Of windows that overlap the one with the most bigrams in common, weighed by Dice, is taken, and what is left is
@@ -17,6 +18,7 @@ proportion to the text, and around anchors to the template's size for each word.
 
 from __future__ import annotations
 
+import pkgutil
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
@@ -34,8 +36,8 @@ from twinspan.sources.tables import table
 
 LEAST = 0.8
 
-# Short forms of public licence notices.
-TEMPLATES: tuple[tuple[str, str], ...] = (
+# Public licence notices in short forms. Complete texts are in licence_texts.
+NOTICES: tuple[tuple[str, str], ...] = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -96,6 +98,27 @@ TEMPLATES: tuple[tuple[str, str], ...] = (
     ("All-Rights-Reserved", "All rights reserved."),
 )
 
+COMPLETE = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense")
+
+
+def _headers() -> Iterator[tuple[str, str]]:
+    """The notice at the head of a file of each GNU licence, made of the one of GPL-3.0."""
+    base = next(text for name, text in NOTICES if name == "GPL-3.0" and text.startswith("This program is free software"))
+    post = ", write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+    for name, kind, version in (("GPL-2.0", "General", "2"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"), ("AGPL-3.0", "Affero General", "3")):
+        text = base.replace("GNU General", f"GNU {kind}").replace("version 3", f"version {version}")
+        yield name, text
+        if version < "3":
+            yield name, text.replace(", see <https://www.gnu.org/licenses/>.", post)
+
+
+TEMPLATES: tuple[tuple[str, str], ...] = (
+    *NOTICES,
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    *_headers(),
+    *((name, (pkgutil.get_data("twinspan.llm", f"licence_texts/{name}.txt") or b"").decode()) for name in COMPLETE),
+)
+
 _TOKEN = re.compile(r"[^\W_]+")
 #: Lines that name a holder only; they differ from copy to copy of a notice.
 _MAY_HOLD = re.compile(r"copyright|\(c\)|\xa9", re.I)
@@ -157,16 +180,18 @@ class Scanner:
         self.words = {w for g in self.index for w in g}
         # Sizes of a span that some template can match.
         self.fits = {n for t in found for n in range(1, int(t.size * (2 - least) / least) + 2) if 2 * min(n, t.size) >= least * (n + t.size)}
-        # At most so many of a template's bigrams can be missing from a span that matches; of any more, one is there.
+        # At most so many of a template's bigrams can be missing from a span that matches; of any more, the others are there.
         common = Counter(w for t in found for g, k in t.grams.items() for w in g * k)
         self.anchors: dict[tuple[str, str], list[int]] = defaultdict(list)
+        self.needed: list[int] = []
         for i, t in enumerate(self.templates):
-            missing = t.size - least * t.size / (2 - least) + 1e-9
+            missing, chosen = int(t.size - least * t.size / (2 - least) + 1e-9), 0
             for g, k in sorted(t.grams.items(), key=lambda x: (common[x[0][0]] * common[x[0][1]], x[0])):
-                if missing < 0:
+                if chosen > missing and chosen >= (0.6 * t.size if t.size >= 60 else 0):
                     break
                 self.anchors[g].append(i)
-                missing -= k
+                chosen += k
+            self.needed.append(chosen - missing)
 
     def best(self, words: list[str]) -> tuple[str, float] | None:
         """The template most like a span, if it reaches the least value; on a tie the first by name."""
@@ -185,7 +210,7 @@ class Scanner:
         """Spans that match, in text order. What lies in a match isn't told again for its parts."""
         text = text or ""
         anchors = self.anchors.keys()
-        if not _MAY_HOLD.search(text) and anchors.isdisjoint(pairwise(tokens(text))):
+        if not _MAY_HOLD.search(text) and not self._zones(list(pairwise(tokens(text)))):
             return []
         words: list[str] = []
         places: list[tuple[int, int]] = []
@@ -198,7 +223,7 @@ class Scanner:
                     words += said
                     places += [(start + m.start(), start + m.end())] * len(said)
             lines.append(Unit(start, start + len(line), first, len(words)))
-        if anchors.isdisjoint(pairwise(words)):
+        if not self._zones(list(pairwise(words))):
             return []
         paragraphs: list[list[Unit]] = [[]]
         for line in lines:
@@ -245,23 +270,30 @@ class Scanner:
 
     def _windows(self, grams: list[tuple[str, str]], low: int, high: int) -> list[Window]:
         """For each template and each start in a part of a text the end that is most like the template, if that is enough."""
+        part = grams[low:high]
+        return [w for i, start, end, longest in self._zones(part) for w in self._zone(self.templates[i], part[start:end], low + start, longest)]
+
+    def _zones(self, grams: list[tuple[str, str]]) -> list[tuple[int, int, int, int]]:
+        """Templates, and where windows that match them can lie: those with as many anchors as are needed."""
+        hits = self.anchors.keys() & set(grams)
         near: dict[int, list[int]] = defaultdict(list)
-        for p in range(low, high):
-            for i in self.anchors.get(grams[p], ()):
-                near[i].append(p)
+        for p, g in enumerate(grams) if hits else ():
+            if g in hits:
+                for i in self.anchors[g]:
+                    near[i].append(p)
         out = []
         for i, at in near.items():
-            t = self.templates[i]
-            longest = int(t.size * (2 - self.least) / self.least + 1e-9)
+            longest = int(self.sizes[i] * (2 - self.least) / self.least + 1e-9)
             zones: list[list[int]] = []
-            for p in at:
-                start, end = max(low, p - longest + 1), min(high, p + longest)
+            for first, last in zip(at, at[self.needed[i] - 1 :], strict=False):
+                if last - first >= longest:
+                    continue
+                start, end = max(0, last - longest + 1), min(len(grams), first + longest)
                 if zones and start <= zones[-1][1]:
                     zones[-1][1] = end
                 else:
                     zones.append([start, end])
-            for start, end in zones:
-                out += self._zone(t, grams[start:end], start, longest)
+            out += [(i, *z, longest) for z in zones]
         return out
 
     def _zone(self, t: Template, grams: list[tuple[str, str]], at: int, longest: int) -> list[Window]:
