@@ -127,6 +127,38 @@ def test_html_names_that_only_hint():
         assert html_text.main_text(page) == want
 
 
+def test_html_words_and_links_decide():
+    long = " ".join(["word"] * 30)
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Some link {i}</a></li>" for i in range(4)) + "</ul>"
+    for page, want in (
+        (f'<article><h1>Title</h1><p>{long}</p>{links}<p>{long}</p><p>Advertisement</p><p>{long}</p><p>We use cookies to give you the best experience.</p><h2>Log in</h2><p>{long}</p></article>', f"Title {long} {long} {long} Log in {long}"),
+        (f'<article><p>{long}</p><p><a href=u>One linked sentence</a></p><p>{long}</p></article>', f"{long} One linked sentence {long}"),
+        (f'<article><header><h1>My title</h1></header><p>{long}</p><p>Short.</p></article>', f"My title {long} Short."),
+        (f'<body>{links}<h1>A title</h1><p>Five words in a row.</p><p>Yes.</p><h2>Part two</h2><p>{long}</p><p>That is the very end.</p>{links}</body>', f"A title Five words in a row. Yes. Part two {long} That is the very end."),
+        ("<body><h1>My own page</h1><p>Hello to you all.</p></body>", "My own page Hello to you all."),
+        (f"<body><form action=x><div><h1>Title</h1><p>{long}</p><p>{long}</p></div></form></body>", f"Title {long} {long}"),
+        (f"<body>{links}{links}</body>", ""),
+    ):
+        assert html_text.main_text(page) == want
+
+
+def test_running_text_is_kept_whatever_is_beside_it():
+    beside = [(n, share) for n in (0, 1, 3, 8, 20, 70) for share in (0.0, 1.0) if n or not share]
+    for before in beside:
+        for after in beside:
+            for article in (0, 1):
+                assert all(html_text.is_content((*before, n, links, *after, 0, article, 0, 0.0)) for n in (15, 30, 100) for links in (0.0, 0.2))
+                assert all(html_text.is_content((*before, n, 0.0, *after, 0, article, 1, 0.0)) for n in (30, 100))
+                assert not any(html_text.is_content((*before, n, 1.0, 3, 1.0, 0, article, 0, 0.0)) for n in (1, 3, 10))
+
+
+def test_neighbours_are_in_the_tree():
+    def columns(at):
+        return {at[0]} | columns(at[2]) | columns(at[3]) if isinstance(at, tuple) else set()
+
+    assert {2, 3, 4, 5} <= columns(html_text.tree()) and 1 in columns(html_text.tree())
+
+
 def test_tree_learns_its_table():
     right = sum(html_text.is_content(tuple(r[:-1])) == bool(r[-1]) for r in html_text.LABELLED)
     assert right >= 0.95 * len(html_text.LABELLED)

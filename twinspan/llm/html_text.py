@@ -4,7 +4,7 @@ A page is read as a flat row of text blocks, broken at every tag that isn't inli
 number of words and the density of its linked words, the same of the blocks before and after it, and
 what its surroundings say: whether it lies in a part that is named as no content (navigation, asides,
 forms and the like, by tag, role or a whole class or id), whether in an article, and whether in one whose class or id has a word
-that only hints at no content. Classes and ids of articles and headings are not looked at. A decision tree, grown on the
+that only hints at no content; and what share of its words is of phrases that notices have. Classes and ids of articles and headings are not looked at. A decision tree, grown on the
 small labelled table below, tells content from the rest. Kept blocks are joined in page order.
 
 Each page is read once, in time in proportion to its length, by the task that has it; nothing is
@@ -36,13 +36,15 @@ class Block(NamedTuple):
     aside: bool  # in a part that is named as no content
     article: bool  # in an article or main element
     vague: bool  # in a part whose name hints at no content
+    cues: float = 0.0  # share of the words that are of phrases of notices
 
 
 # Element names.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED = frozenset("head script style noscript template iframe svg canvas select textarea button title math".split())
-ASIDE = frozenset("nav header footer aside form dialog menu fieldset".split())
+ASIDE = frozenset("nav header footer aside dialog menu".split())
+VAGUE = frozenset("form fieldset".split())  # also around whole pages
 CLOSED_BY = {"p": frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), "li": frozenset(["li"]), "td": frozenset("td th tr".split()), "th": frozenset("td th tr".split()), "tr": frozenset(["tr"]), "dt": frozenset("dt dd".split()), "dd": frozenset("dt dd".split()), "option": frozenset("option optgroup".split())}
 #: Whole class or id tokens that name no content on any page.
 ASIDE_NAMES = frozenset(
@@ -67,6 +69,13 @@ _TAG = re.compile(
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+#: Phrases of notices; those of licences aren't among them, as they belong to the text.
+_CUES = re.compile(
+    r"\b(?:we use cookies|(?:accept|allow)(?: all)? cookies|cookie (?:policy|settings)|privacy policy|terms of (?:use|service)|(?:subscribe|sign up)(?: (?:to|for) (?:our|the))?(?: newsletter)?|newsletter|"
+    r"share (?:this|on)|follow us|log in|sign in|advertisement|sponsored(?: content)?|skip to (?:main )?content|click here|read more|related (?:articles|posts|stories)|leave a (?:comment|reply)|"
+    r"werbung|anzeige|publicité)\b",
+    re.I,
+)
 _PARTS = re.compile(r"[a-z]+")
 
 
@@ -102,7 +111,9 @@ def blocks(page: str | None) -> list[Block]:
             if text:
                 n = text.count(" ") + 1
                 share = len(html.unescape("".join(linked)).split()) / n if linked else 0.0
-                out.append(Block(text, n, min(1.0, share), aside, article, vague))
+                heads = bool(open_) and open_[-1][0] in UNNAMED and open_[-1][0] not in ("article", "main")
+                cues = sum(x.count(" ") + 1 for x in _CUES.findall(text)) / n if n <= 60 and not heads else 0.0
+                out.append(Block(text, n, min(1.0, share), aside, article, vague, cues))
             parts.clear()
             linked.clear()
 
@@ -163,9 +174,11 @@ def blocks(page: str | None) -> list[Block]:
             skip = 0
         if tag in ("article", "main"):
             article = True
-        if tag in ASIDE:
+        if tag in VAGUE:
+            vague = True
+        elif tag in ASIDE and not (tag == "header" and article):  # that of an article has its title
             aside = True
-        elif m[4] and tag not in ("html", "body"):
+        if m[4] and tag not in ("html", "body"):
             sure, hint = _named(tag, m[4])
             aside, vague = aside or sure, vague or hint
     if not skip:
@@ -176,12 +189,14 @@ def blocks(page: str | None) -> list[Block]:
 
 # The labelled table. Words and link density of the block before, the block and the block after; and
 # whether it is content in an article, in a hinted part of one, in neither, and in a hinted part outside. In a part
-# named as no content it never is.
+# named as no content it never is. A last number is the share of words that are of notices' phrases.
 SITUATIONS = (
     # running text
     (0, 0.0, 80, 0.0, 0, 0.0, "1111"), (0, 0.0, 120, 0.0, 60, 0.0, "1111"), (60, 0.0, 48, 0.05, 70, 0.0, "1111"), (9, 0.0, 33, 0.0, 41, 0.0, "1111"), (41, 0.0, 26, 0.1, 2, 1.0, "1111"),
     (2, 1.0, 60, 0.0, 55, 0.0, "1111"), (1, 1.0, 30, 0.0, 1, 1.0, "1111"), (35, 0.0, 19, 0.2, 22, 0.1, "1111"), (25, 0.1, 70, 0.3, 40, 0.0, "1111"), (30, 0.0, 12, 0.4, 44, 0.0, "1111"),
     (70, 0.0, 14, 0.0, 30, 0.0, "1111"), (0, 0.0, 18, 0.0, 60, 0.0, "1111"), (12, 0.0, 95, 0.0, 3, 0.0, "1111"), (95, 0.0, 130, 0.0, 25, 0.1, "1111"), (50, 0.0, 27, 0.0, 4, 0.0, "1111"), (70, 0.0, 40, 0.0, 3, 0.0, "1111"), (90, 0.0, 45, 0.0, 0, 0.0, "1111"), (80, 0.0, 30, 0.0, 2, 1.0, "1111"), (100, 0.0, 60, 0.0, 8, 0.0, "1111"),
+    (3, 1.0, 30, 0.0, 0, 0.0, "1111"), (2, 1.0, 60, 0.0, 0, 0.0, "1111"), (1, 1.0, 35, 0.1, 4, 0.0, "1111"), (5, 0.9, 50, 0.0, 2, 1.0, "1111"), (4, 1.0, 12, 0.0, 0, 0.0, "1010"), (1, 1.0, 20, 0.0, 0, 0.0, "1010"), (2, 1.0, 9, 0.0, 0, 0.0, "1010"),
+    (8, 1.0, 12, 0.0, 3, 1.0, "1010"), (4, 1.0, 9, 0.0, 3, 1.0, "1010"), (20, 1.0, 15, 0.0, 3, 1.0, "1010"), (5, 1.0, 30, 0.0, 3, 1.0, "1111"), (70, 1.0, 60, 0.0, 2, 1.0, "1111"), (30, 0.0, 5, 0.0, 2, 1.0, "1010"), (60, 0.0, 4, 0.0, 3, 1.0, "1010"),
     (40, 0.0, 11, 0.0, 3, 1.0, "1110"), (3, 1.0, 13, 0.0, 2, 1.0, "1010"), (4, 0.0, 16, 0.0, 5, 0.0, "1010"), (0, 0.0, 20, 0.0, 3, 1.0, "1010"), (2, 1.0, 24, 0.0, 2, 0.0, "1010"),
     # few words beside running text
     (70, 0.0, 6, 0.0, 90, 0.0, "1111"), (90, 0.0, 4, 0.0, 35, 0.0, "1111"), (45, 0.0, 1, 0.0, 50, 0.0, "1111"), (55, 0.0, 3, 0.0, 28, 0.1, "1111"), (30, 0.0, 8, 0.0, 44, 0.0, "1111"),
@@ -193,17 +208,23 @@ SITUATIONS = (
     (0, 0.0, 1, 0.0, 0, 0.0, "1010"), (0, 0.0, 3, 0.0, 0, 0.0, "1010"), (0, 0.0, 8, 0.0, 0, 0.0, "1010"), (8, 0.0, 7, 0.0, 6, 0.0, "1010"), (1, 0.0, 1, 0.0, 1, 0.0, "1010"),
     (9, 0.0, 9, 0.0, 9, 0.0, "1010"), (6, 0.0, 5, 0.0, 10, 0.0, "1010"), (11, 0.1, 1, 0.0, 12, 0.0, "1010"), (1, 1.0, 3, 0.0, 4, 0.0, "1010"), (2, 1.0, 1, 0.0, 6, 0.0, "1010"),
     # few words beside links
-    (1, 1.0, 2, 0.0, 1, 1.0, "1000"), (4, 1.0, 6, 0.0, 2, 1.0, "1000"), (2, 1.0, 5, 0.0, 0, 0.0, "1000"), (1, 1.0, 1, 0.0, 0, 0.0, "1000"), (5, 0.9, 4, 0.0, 3, 0.8, "1000"),
-    (20, 0.0, 3, 0.0, 2, 1.0, "1000"), (60, 0.0, 1, 0.0, 4, 1.0, "1000"), (35, 0.0, 2, 0.0, 3, 0.9, "1000"), (0, 0.0, 2, 0.0, 3, 1.0, "1000"), (0, 0.0, 3, 0.0, 1, 1.0, "1000"),
+    (1, 1.0, 2, 0.0, 1, 1.0, "0000"), (4, 1.0, 6, 0.0, 2, 1.0, "0000"), (2, 1.0, 5, 0.0, 0, 0.0, "0000"), (1, 1.0, 1, 0.0, 0, 0.0, "0000"), (5, 0.9, 4, 0.0, 3, 0.8, "0000"),
+    (20, 0.0, 3, 0.0, 2, 1.0, "0000"), (60, 0.0, 1, 0.0, 4, 1.0, "0000"), (35, 0.0, 2, 0.0, 3, 0.9, "0000"), (0, 0.0, 2, 0.0, 3, 1.0, "1000"), (0, 0.0, 3, 0.0, 1, 1.0, "1000"),
     # links
-    (1, 1.0, 1, 1.0, 1, 1.0, "1000"), (2, 1.0, 3, 1.0, 2, 1.0, "1000"), (0, 0.0, 2, 1.0, 3, 1.0, "1000"), (0, 0.0, 1, 1.0, 30, 0.0, "1000"), (45, 0.0, 1, 1.0, 2, 1.0, "1000"),
-    (90, 0.0, 2, 1.0, 1, 1.0, "1000"), (3, 1.0, 2, 0.5, 4, 1.0, "1000"), (70, 0.0, 5, 0.8, 3, 1.0, "1000"), (5, 0.8, 24, 0.9, 4, 1.0, "1000"), (4, 1.0, 18, 0.9, 6, 1.0, "1000"),
-    (1, 1.0, 2, 1.0, 70, 0.0, "1000"), (60, 0.0, 40, 0.7, 8, 0.9, "1000"), (12, 1.0, 15, 0.6, 30, 0.0, "1000"), (50, 0.0, 3, 1.0, 0, 0.0, "1000"), (2, 1.0, 2, 1.0, 0, 0.0, "1000"),
-    (2, 0.0, 1, 1.0, 1, 1.0, "1000"), (0, 0.0, 4, 1.0, 0, 0.0, "1000"), (1, 1.0, 4, 0.8, 2, 0.0, "1000"), (50, 0.0, 4, 1.0, 60, 0.0, "1000"), (44, 0.0, 6, 1.0, 10, 0.0, "1000"),
+    (1, 1.0, 1, 1.0, 1, 1.0, "0000"), (2, 1.0, 3, 1.0, 2, 1.0, "0000"), (0, 0.0, 2, 1.0, 3, 1.0, "0000"), (0, 0.0, 1, 1.0, 30, 0.0, "0000"), (45, 0.0, 1, 1.0, 2, 1.0, "0000"),
+    (90, 0.0, 2, 1.0, 1, 1.0, "0000"), (3, 1.0, 2, 0.5, 4, 1.0, "0000"), (70, 0.0, 5, 0.8, 3, 1.0, "0000"), (5, 0.8, 24, 0.9, 4, 1.0, "0000"), (4, 1.0, 18, 0.9, 6, 1.0, "0000"),
+    (1, 1.0, 2, 1.0, 70, 0.0, "0000"), (60, 0.0, 40, 0.7, 8, 0.9, "0000"), (12, 1.0, 15, 0.6, 30, 0.0, "0000"), (50, 0.0, 3, 1.0, 0, 0.0, "0000"), (2, 1.0, 2, 1.0, 0, 0.0, "0000"),
+    (2, 0.0, 1, 1.0, 1, 1.0, "0000"), (0, 0.0, 4, 1.0, 0, 0.0, "0000"), (1, 1.0, 4, 0.8, 2, 0.0, "0000"), (50, 0.0, 4, 1.0, 60, 0.0, "1000"), (44, 0.0, 6, 1.0, 10, 0.0, "1000"),
     (55, 0.0, 3, 1.0, 64, 0.0, "1000"), (40, 0.0, 2, 1.0, 35, 0.0, "1000"), (25, 0.0, 9, 0.8, 20, 0.0, "1000"), (5, 0.0, 3, 1.0, 4, 0.0, "1000"), (30, 0.0, 12, 0.6, 44, 0.0, "1000"),
+    # notices, and text that names what notices do
+    (60, 0.0, 1, 0.0, 55, 0.0, "0000", 1.0), (40, 0.0, 3, 0.0, 30, 0.0, "0000", 0.67), (70, 0.0, 7, 0.0, 60, 0.0, "0000", 0.57), (50, 0.0, 9, 0.0, 45, 0.0, "0000", 0.33), (30, 0.0, 14, 0.0, 20, 0.0, "0000", 0.4),
+    (0, 0.0, 2, 0.0, 60, 0.0, "0000", 1.0), (20, 0.0, 4, 0.0, 0, 0.0, "0000", 0.75), (45, 0.0, 18, 0.0, 3, 0.0, "0000", 0.35), (5, 0.0, 3, 0.0, 4, 0.0, "0000", 0.67), (90, 0.0, 25, 0.0, 70, 0.0, "0000", 0.32),
+    (60, 0.0, 30, 0.0, 50, 0.0, "1111", 0.1), (50, 0.0, 13, 0.0, 45, 0.0, "1111", 0.15), (40, 0.0, 7, 0.0, 60, 0.0, "1111", 0.28), (70, 0.0, 45, 0.0, 60, 0.0, "1111", 0.08), (0, 0.0, 10, 0.0, 50, 0.0, "1111", 0.2),
+    # titles above links to authors and the like
+    (3, 1.0, 1, 0.0, 1, 0.0, "1010"), (2, 1.0, 2, 0.0, 1, 0.0, "1010"), (4, 1.0, 1, 0.0, 2, 0.0, "1010"), (2, 1.0, 2, 0.0, 2, 0.0, "1010"), (0, 0.0, 5, 0.0, 2, 1.0, "1000"), (0, 0.0, 7, 0.0, 2, 1.0, "1010"), (3, 0.0, 6, 0.0, 1, 1.0, "1010"),
 )
 #: One row for each situation and surroundings: the features of a block, and whether it is content.
-LABELLED = tuple((*s[:6], aside, article, vague, int(label)) for s in SITUATIONS for (aside, article, vague), label in zip(((0, 1, 0), (0, 1, 1), (0, 0, 0), (0, 0, 1), (1, 0, 0), (1, 1, 0)), s[6] + "00", strict=True))
+LABELLED = tuple((*s[:6], aside, article, vague, *(s[7:] or (0.0,)), int(label)) for s in SITUATIONS for (aside, article, vague), label in zip(((0, 1, 0), (0, 1, 1), (0, 0, 0), (0, 0, 1), (1, 0, 0), (1, 1, 0)), s[6] + "00", strict=True))
 
 Tree = tuple[int, float, "Tree", "Tree"] | float
 
@@ -230,7 +251,7 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Tree:
 @lru_cache(1)
 def tree() -> Tree:
     rows = np.array(LABELLED)
-    return grow(rows[:, :-1], rows[:, -1])
+    return grow(rows[:, :-1], rows[:, -1], 9)
 
 
 def is_content(features: tuple[float, ...]) -> bool:
@@ -245,9 +266,9 @@ def main_text(page: str | None) -> str:
     found = blocks(page)
     if not found:
         return ""
-    none = Block("", 0, 0.0, False, False, False)
+    none = Block("", 0, 0.0, False, False, False, 0.0)
     around = zip([none, *found[:-1]], found, [*found[1:], none], strict=True)
-    return " ".join(b.text for a, b, c in around if is_content((a.words, a.links, b.words, b.links, c.words, c.links, b.aside, b.article, b.vague)))
+    return " ".join(b.text for a, b, c in around if is_content((a.words, a.links, b.words, b.links, c.words, c.links, b.aside, b.article, b.vague, b.cues)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
