@@ -135,6 +135,18 @@ def test_neighbours_by_brute_force(spark):
     assert hits >= 0.9 * total
 
 
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.0])
+def test_neighbours_of_mixed_lengths(spread):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(4096, 64))
+    v *= np.exp(spread * rng.normal(size=(4096, 1))) / np.linalg.norm(v, axis=1, keepdims=True)
+    hits = 0
+    for i, (found, _) in enumerate(neighbours.Block(np.arange(4096), v, neighbours.pivots(v)).search(np.arange(60), v[:60])):
+        best = [j for j in np.argsort(-(v @ v[i])).tolist() if j != i][:20]
+        hits += len({*best} & {*found.tolist()})
+    assert hits >= 0.9 * 60 * 20
+
+
 def test_neighbours_on_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [0.5, 0.5]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (8, [1.0]), (20, [-1.0, 0.0]), (None, [1.0, 1.0]), (0, [1.0, 0.0])]

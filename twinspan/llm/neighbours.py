@@ -3,9 +3,10 @@
 A vector is represented by its nearest pivots in order. Blocks of vectors are indexed each by inverted
 files: for each pivot, which vectors of the block have it among their nearest, and in which place. A
 query reads the files of its own nearest pivots, adds up the footrule distance between the two orders
-(a pivot that one of them lacks counts as the place after the last), takes the share of the block's vectors with
-the least distance, and ranks these by their inner product in double precision. The best of all blocks
-are merged.
+(a pivot that one of them lacks counts as the place after the last). Orders tell of directions only, so the distance becomes a cosine
+by the line that fits pairs of the block best, and with the vector's length an inner product. The share of the block's
+vectors where that is greatest, those of least distance if all are of one length, is ranked by the inner product in double precision.
+The best of all blocks are merged.
 
 Vectors lie in blocks of bounded size, dealt by row; the queries too. Every block of vectors meets every
 block of queries, as the search is over all rows, by a join on block numbers; neither side is broadcast or
@@ -29,10 +30,12 @@ TOP = 20
 PIVOTS = 256
 #: Length of a representation.
 PLACES = 64
-#: Share of a block's vectors, those of least footrule distance, whose inner products are computed.
+#: Share of a block's vectors, those of greatest expected inner product, whose inner products are computed.
 RERANKED = 0.2
 #: Rows of a block of vectors, of a block of queries, and of the sample that the pivots are taken from.
 BLOCK, QUERY_BLOCK, SAMPLE = 4096, 512, 4096
+#: Vectors of a block that are compared with all of it, to tell cosines from distances.
+FITTED = 16
 
 
 def usable(v: Column) -> Column:
@@ -73,17 +76,28 @@ class Block:
         by_pivot = np.argsort(pivot, kind="stable")
         self.row, self.place = row[by_pivot], place[by_pivot].astype(np.int32)
         self.file = np.searchsorted(pivot[by_pivot], np.arange(len(by) + 1))
+        self.norms = np.linalg.norm(vectors, axis=1)
+        tried = np.linspace(0, len(ids) - 1, min(FITTED, len(ids))).astype(int)
+        x = np.concatenate([self.distances(order[i]) for i in tried]).astype(float)
+        y = np.concatenate([vectors @ vectors[i] / self.norms / self.norms[i] for i in tried])
+        x -= (middle := x.mean())
+        fall = min(-1e-9, float(x @ y / max(x @ x, 1e-9)))  # a greater distance is never taken for a nearer vector
+        self.line = float(y.mean()) - fall * middle, fall
+
+    def distances(self, order: np.ndarray) -> np.ndarray:
+        """Footrule to each vector, less a constant: as if no pivot were shared; each posting read corrects that for its vector."""
+        distance = np.zeros(len(self.ids), np.int32)
+        for j, p in enumerate(order):
+            at = slice(self.file[p], self.file[p + 1])
+            distance[self.row[at]] += np.abs(self.place[at] - j) - (self.places - self.place[at]) - (self.places - j)
+        return distance
 
     def search(self, ids: np.ndarray, queries: np.ndarray, top: int = TOP, share: float = RERANKED) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each query the ids and inner products of the best rows of this block, its own id left out."""
         take = min(len(self.ids), max(top + 1, int(np.ceil(share * len(self.ids)))))
         for q, query, order in zip(ids, queries, orders(queries, self.by), strict=True):
-            # Footrule: as if no pivot were shared; each posting read corrects that for its vector.
-            distance = np.zeros(len(self.ids), np.int32)
-            for j, p in enumerate(order):
-                at = slice(self.file[p], self.file[p + 1])
-                distance[self.row[at]] += np.abs(self.place[at] - j) - (self.places - self.place[at]) - (self.places - j)
-            near = np.argpartition(distance, take - 1)[:take] if take < len(distance) else np.arange(len(distance))
+            expected = self.norms * (self.line[0] + self.line[1] * self.distances(order))
+            near = np.argpartition(-expected, take - 1)[:take] if take < len(expected) else np.arange(len(expected))
             near = near[self.ids[near] != q]
             score = (self.vectors[near] * query).sum(1)  # the same sum whatever the rows beside it
             best = np.lexsort((self.ids[near], -score))[:top]
