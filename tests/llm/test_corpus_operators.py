@@ -235,6 +235,28 @@ def test_warc_audit_by_brute_force(spark):
     assert warc_fixity.audit(frame([]), frame([])).count() == 0
 
 
+def test_warc_files_are_audited_whole(spark, tmp_path):
+    one = b"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: http://a\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    other = one.replace(b"Content-Length: 5", b"content-length:5").replace(b"hello", b"olleh")
+    broken = one.replace(b"Content-Length: 5", b"Content-Length: x")
+    data = one + broken + other + b"junk" + b"\r\n" + one + b"WARC/1.0\r\ncut"
+    found = [(at, n, bool(h), body) for at, n, h, body in warc_fixity.parse(data)]
+    assert b"".join(data[at : at + n] for at, n, _, _ in found) == data
+    assert [x[3] for x in found if x[2]] == [b"hello", b"olleh", b"hello"] and [x[3] for x in found if not x[2]] == [broken, b"junk\r\n", b"WARC/1.0\r\ncut"]
+    read = lambda name: warc_fixity.leaves(warc_fixity.read_warc(spark, str(tmp_path / name))).withColumn("file", F.lit("x"))
+    (tmp_path / "a.warc").write_bytes(data)
+    (tmp_path / "b.warc").write_bytes(data.replace(b"junk", b"jusk"))
+    (tmp_path / "c.warc").write_bytes(data.replace(b"http://a", b"http://b", 1))
+    (tmp_path / "d.warc").write_bytes(data[: len(data) - 13])
+    (tmp_path / "e.warc.gz").write_bytes(gzip.compress(one) + gzip.compress(broken)[:-3] + gzip.compress(other))
+    a = read("a.warc")
+    numbers = lambda x: sorted(r.number for r in warc_fixity.audit(a, read(x)).collect())
+    assert [numbers(x) for x in ("a.warc", "b.warc", "c.warc", "d.warc")] == [[], [3], [0], [5]]
+    assert [bytes(r.body) for r in warc_fixity.read_warc(spark, str(tmp_path / "e.warc.gz")).collect() if r.uri] == [b"hello", b"olleh"]
+    moved = a.withColumn("end", F.when(F.col("number") == 2, F.col("end") + 1).otherwise(F.col("end")))
+    assert [r.number for r in warc_fixity.audit(a, moved).collect()] == [2]
+
+
 def test_warc_query(spark):
     path = "/root/testdata/sf0.01"
     pages = table(spark, path, "pages")

@@ -1,8 +1,8 @@
 """WARC records and a Merkle audit of their fixity.
 
 Records lie in files, in ranges of bytes in order of offset. The leaves of a file's tree are its
-records' hashes; a node above covers `FAN` consecutive nodes, and so a range of offsets, and hashes
-their hashes in order. Replicas agree if the roots do. Where roots differ only the children of the nodes that
+records' hashes with their offsets and ends; a node above covers `FAN` consecutive nodes, and so a range of offsets, and hashes
+their numbers, ranges and hashes in order. Ranges of bytes that can't be read as records are leaves too. Replicas agree if the roots do. Where roots differ only the children of the nodes that
 differ are compared, level by level, down to the records that differ, or that one replica lacks.
 
 Hashing the records is one pass over the bytes, after which only hashes travel. A level is a
@@ -13,6 +13,8 @@ the levels' mismatching rows take part in the descent.
 from __future__ import annotations
 
 import gzip
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,26 +44,74 @@ def records(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.concat(record_head(F.col("url"), F.length(body)).cast("binary"), body, F.lit(CRLF + CRLF).cast("binary")).alias("record"))
 
 
+_LENGTH = re.compile(rb"\r\ncontent-length[ \t]*:[ \t]*(\d+)[ \t]*(?=\r\n|\Z)", re.I)
+
+
+def _record_end(data: bytes, at: int) -> tuple[int, int] | None:
+    """Where the body of the record at a place starts and ends, or None if the record is broken."""
+    head_end = data.find(b"\r\n\r\n", at)
+    found = _LENGTH.search(data, at, head_end) if head_end >= 0 and data.startswith(b"WARC/", at) else None
+    if not found:
+        return None
+    end = head_end + 4 + int(found[1])
+    return (head_end + 4, end) if data.startswith(b"\r\n\r\n", end) else None
+
+
 def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """(offset, length, headers, body) of the records of a file; a broken record ends the file."""
+    """(offset, length, headers, body) of the records of a file, which together are all of its bytes.
+
+    Names of headers are in lower case. A broken record, and whatever else is no record, reaches up to the next whole
+    record; it has no headers and its bytes are the body.
+    """
     at = 0
-    while data.startswith(b"WARC/", at):
-        head_end = data.find(b"\r\n\r\n", at)
-        if head_end < 0:
-            return
-        headers = dict(x.split(": ", 1) for x in data[at:head_end].decode("utf-8", "replace").split(CRLF)[1:] if ": " in x)
-        if not headers.get("Content-Length", "").isdigit():
-            return
-        start = head_end + 4
-        end = start + int(headers["Content-Length"])
-        if len(data) < end + 4:
-            return
-        yield at, end + 4 - at, headers, data[start:end]
-        at = end + 4
+    while at < len(data):
+        if place := _record_end(data, at):
+            start, end = place
+            lines = data[at : start - 4].decode("utf-8", "replace").split(CRLF)[1:]
+            headers = {name.strip().lower(): value.strip() for name, colon, value in (x.partition(":") for x in lines) if colon}
+            yield at, end + 4 - at, headers, data[start:end]
+            at = end + 4
+            continue
+        after = data.find(b"WARC/", at + 1)
+        while after >= 0 and not _record_end(data, after):
+            after = data.find(b"WARC/", after + 1)
+        end = after if after >= 0 else len(data)
+        yield at, end - at, {}, data[at:end]
+        at = end
+
+
+def _plain(data: bytes) -> bytes:
+    """A file's bytes without gzip; members that can't be read are kept as they are, up to the next that can."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    try:
+        return gzip.decompress(data)
+    except (OSError, EOFError, zlib.error):
+        pass
+    out, at = [], 0
+    while at < len(data):
+        member = zlib.decompressobj(31)
+        try:
+            text = member.decompress(data[at:])
+            whole = member.eof
+        except zlib.error:
+            whole = False
+        if whole:
+            out.append(text)
+            at = len(data) - len(member.unused_data)
+            continue
+        after = data.find(b"\x1f\x8b\x08", at + 1)
+        end = after if after >= 0 else len(data)
+        out.append(data[at:end])
+        at = end
+    return b"".join(out)
 
 
 def read_warc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(file, number, offset, length, uri, body) of all records of WARC files, gzipped or plain.
+    """(file, number, offset, length, uri, body, record) of all records of WARC files, gzipped or plain.
+
+    record has the whole bytes, as `leaves` takes them; bytes that are no record have no uri, see `parse`. Offsets are of
+    the file without gzip.
 
     A file is read whole by one task; files are meant to be of bounded size, as writers make them.
     """
@@ -69,15 +119,15 @@ def read_warc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                data = gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-                rows = [(path, i, at, n, h.get("WARC-Target-URI"), body) for i, (at, n, h, body) in enumerate(parse(data))]
-                names = ["file", "number", "offset", "length", "uri", "body"]
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+                data = _plain(data)
+                rows = [(path, i, at, n, h.get("warc-target-uri"), body, data[at : at + n]) for i, (at, n, h, body) in enumerate(parse(data))]
+                names = ["file", "number", "offset", "length", "uri", "body", "record"]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(run, "file string, number long, offset long, length long, uri string, body binary")
+    return files.mapInArrow(run, "file string, number long, offset long, length long, uri string, body binary, record binary")
 
 
 def laid_out(rows: DataFrame, order: list[Column], file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -102,10 +152,10 @@ def leaves(rows: DataFrame) -> DataFrame:
 
 def _above(level: DataFrame, fan: int) -> DataFrame:
     """The level over `level`, written: a node for each `fan` consecutive ones of a file."""
-    children = F.array_sort(F.collect_list(F.struct("number", "hash")))
+    children = F.array_sort(F.collect_list(F.struct("number", "offset", "end", "hash")))
     above = level.groupBy("file", F.floor(F.col("number") / fan).cast("long").alias("number"))
     nodes = above.agg(F.min("offset").alias("offset"), F.max("end").alias("end"), children.alias("children"))
-    digest = F.sha2(F.concat_ws("|", F.transform("children", lambda c: F.concat_ws(":", c["number"].cast("string"), c["hash"]))), 256)
+    digest = F.sha2(F.concat_ws("|", F.transform("children", lambda c: F.concat_ws(":", c["number"].cast("string"), c["offset"].cast("string"), c["end"].cast("string"), c["hash"]))), 256)
     return save(nodes.select("file", "number", "offset", "end", digest.alias("hash")), "level")
 
 
@@ -118,7 +168,7 @@ def tree(level: DataFrame, fan: int = FAN) -> list[DataFrame]:
 
 
 def audit(ours: DataFrame, theirs: DataFrame, fan: int = FAN) -> DataFrame:
-    """(file, number, offset, length, hash, other_hash) of each record that differs between two replicas.
+    """(file, number, offset, length, hash, other_hash) of each record that differs between two replicas, in its bytes or its place.
 
     ours, theirs: (file, number, offset, end, hash) of the replicas' records. A record that a replica lacks
     has a null hash there, and the other's place. Equal replicas, or empty ones, give no rows.
@@ -134,7 +184,7 @@ def audit(ours: DataFrame, theirs: DataFrame, fan: int = FAN) -> DataFrame:
             mine, other = (x.join(near, (x["file"] == near["file"]) & (F.floor(x["number"] / fan) == near["above"]), "left_semi") for x in (mine, other))
         x = mine.select("file", "number", F.struct("offset", "end", "hash").alias("a"))
         y = other.select("file", "number", F.struct("offset", "end", "hash").alias("b"))
-        differing = save(x.join(y, ["file", "number"], "full").where(~F.col("a.hash").eqNullSafe(F.col("b.hash"))), "differing")
+        differing = save(x.join(y, ["file", "number"], "full").where(~F.col("a").eqNullSafe(F.col("b"))), "differing")
         if differing.isEmpty():
             break
     place = F.coalesce("a", "b")
