@@ -72,3 +72,20 @@ def test_nothing_found_writes_nothing(spark, tmp_path):
     (tmp_path / "x.fa").write_text(fasta_lines("s", "A" * 100))
     assert not run(spark, [str(tmp_path / "x.fa")], str(tmp_path / "out"), Params())
     assert not (tmp_path / "out.dup.bed").exists()
+
+
+def test_documents_without_a_source(spark, tmp_path):
+    import duckdb
+
+    from twinspan.plans import catalogue
+    from twinspan.sources.tables import table
+
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    docs.withColumn("source", F.when(F.col("doc_id") % 3 != 0, F.col("source"))).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("seq_projection", "windows"):
+        found = con.sql(catalogue.ORACLE_SQL[name])
+        frame = catalogue.QUERIES[name](spark, str(tmp_path)).select(*found.columns)
+        rows = sorted(map(repr, (tuple(r) for r in frame.collect())))
+        assert rows == sorted(map(repr, found.fetchall())) and rows

@@ -15,11 +15,11 @@ def document_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(file_id, genome, seq, record_no, bases): each document a sequence, each source a genome's file."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     # Names of files alone meet in one task, as they would on a command line.
-    nth = F.row_number().over(Window.orderBy("source")) - 1
-    files = docs.select("source").distinct().select(F.col("source").alias("genome"), nth.alias("file_id"))
+    nth = F.row_number().over(Window.orderBy(F.asc_nulls_last("source"))) - 1  # null comes last, as in DuckDB
+    files = docs.select("source").distinct().select(F.col("source").alias("name"), nth.alias("file_id"))
     bases = F.translate(F.regexp_replace("text", "[^A-Za-z0-9]", ""), LETTERS, BASES)
     rows = docs.select(F.col("source").alias("genome"), F.col("doc_id").cast("string").alias("seq"), F.col("doc_id").alias("record_no"), bases.alias("bases"))
-    return rows.join(files, "genome").select("file_id", "genome", "seq", "record_no", "bases")
+    return rows.join(files, F.col("genome").eqNullSafe(F.col("name"))).select("file_id", "genome", "seq", "record_no", "bases")
 
 
 def line_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
