@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinspan.plans.scratch import save
+from twinspan.plans.scratch import free, save
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = save(small.where("u <> v").distinct(), "edges")
+        last, now = now, save(small.where("u <> v").distinct(), "edges")
+        free(last)
         after = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == before:
             break

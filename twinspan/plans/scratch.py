@@ -36,7 +36,17 @@ def save(df: DataFrame, name: str) -> DataFrame:
     path = f"{root(spark)}/twinspan/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._saved_at = path
+    return table
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Delete saved tables that no later plan reads; whatever else is given is left alone."""
+    gone = {path for x in tables if (path := getattr(x, "_saved_at", None))}
+    for spark, path in [x for x in _written if x[1] in gone]:
+        _written.remove((spark, path))
+        _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
@@ -52,11 +62,13 @@ def release(spark: SparkSession) -> None:
 def clear() -> None:
     """Delete every table that was saved; DataFrames that read them can't be used afterwards."""
     while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):  # the session may have ended
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(*_written.pop())
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 atexit.register(clear)
