@@ -75,7 +75,7 @@ def near_corpus():
     return {d: texts[i] for d, i in enumerate(order)}
 
 
-@pytest.mark.parametrize(("k", "similarity", "stars"), [(3, (9, 10), 4), (5, (4, 5), 2), (3, (9, 10), 0)])
+@pytest.mark.parametrize(("k", "similarity", "stars"), [(3, (9, 10), 1), (5, (4, 5), 2), (3, (9, 10), 0), (5, (4, 5), 1)])
 def test_jaccard_join_by_brute_force(spark, k, similarity, stars):
     texts = near_corpus()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
@@ -88,7 +88,6 @@ def test_jaccard_join_by_brute_force(spark, k, similarity, stars):
 @pytest.mark.parametrize("similarity", [(9, 10), (4, 5)])
 def test_prefixes_of_similar_sets_meet(n, similarity):
     rng = np.random.default_rng(n)
-    classes = np.zeros(1 << jaccard_join.BUCKETS, np.uint8)
     num, den = similarity
     for _ in range(30):
         a = rng.integers(1, 2**63, n, np.uint64)
@@ -100,7 +99,8 @@ def test_prefixes_of_similar_sets_meet(n, similarity):
             continue
         need = min(jaccard_join.common(len(a), similarity), jaccard_join.common(len(b), similarity))
         for o in range(3):
-            assert len(np.intersect1d(jaccard_join._prefix(a, similarity, classes, o), jaccard_join._prefix(b, similarity, classes, o))) >= need
+            assert len(np.intersect1d(jaccard_join.prefix(a, similarity, o), jaccard_join.prefix(b, similarity, o))) >= need
+        assert jaccard_join.similar([a], [b], np.ones((1, 1), bool), similarity).all()
 
 
 def test_jaccard_join_on_odd_rows(spark):
