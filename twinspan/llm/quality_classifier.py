@@ -6,8 +6,8 @@ A text's features are its word unigrams and bigrams, of the words in lower case
 looks alike whatever the word. A feature's value is the root of its share of the words; the score is
 the logistic function of one sparse dot product.
 
-Learning takes at most `max_labels` labelled rows (those of least hash), whose features one task
-reads; scoring reads every whole text once, where it lies, with the non-zero weights (at most 2**18 pairs,
+Learning takes at most `max_labels` labelled documents (those whose ids have the least hash; of an id's
+several texts or labels one). They are gathered first, by many tasks, and written; one task reads them. Scoring reads every whole text once, where it lies, with the non-zero weights (at most 2**18 pairs,
 a fixed bound) sent to each executor. No text is shuffled but for the labelled ones.
 
 Null and empty texts have the intercept alone. Rows without a label, or with a label other than 0 and
@@ -17,7 +17,7 @@ the input beside doc_id and text are left alone.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from twinspan.llm.ftrl import Ftrl, sigmoid
 from twinspan.llm.words import hashed_words, small_batches
+from twinspan.plans.scratch import free, save
 from twinspan.sources.tables import table
 
 BITS = 18
@@ -69,40 +70,54 @@ def fit(labelled: DataFrame, epochs: int = 6) -> tuple[np.ndarray, np.ndarray]:
             rows += featured(batch.column("text"))
             labels += batch.column("label").to_pylist()
         order = sorted(range(len(rows)), key=lambda i: (labels[i], len(rows[i][0]), rows[i][0].tobytes()))
-        w = Ftrl(1 << BITS, alpha=1.0, beta=0.3, l1=0.3, l2=0.02).fit([rows[i] for i in order], np.array([labels[i] for i in order]), epochs).weights()
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_pydict({"idx": pa.array(at, pa.int64()), "weight": pa.array(w[at])})
+        idx, w = Ftrl(alpha=1.0, beta=0.3, l1=0.3, l2=0.02).fit([rows[i] for i in order], np.array([labels[i] for i in order]), epochs)
+        at = np.flatnonzero(w[:, 0])
+        yield pa.RecordBatch.from_pydict({"idx": pa.array(idx[at], pa.int64()), "weight": pa.array(w[at, 0])})
 
-    found = labelled.coalesce(1).mapInArrow(learn, "idx long, weight double").toPandas()
+    gathered = save(labelled, "labelled")
+    found = gathered.coalesce(1).mapInArrow(learn, "idx long, weight double").toPandas()
+    free(gathered)
     return found["idx"].to_numpy(np.int64), found["weight"].to_numpy(float)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, max_labels: int = MAX_LABELS) -> DataFrame:
-    """(doc_id, text, label) of at most `max_labels` labelled documents outside the held-out fifth.
+def labelled_ids(labels: DataFrame, label: str, max_labels: int) -> DataFrame:
+    """(doc_id, label) of the `max_labels` labelled ids of least hash; an id with both labels counts as 0. Of the label table alone."""
+    ids = labels.where(f"{label} in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min(F.col(label)).cast("double").alias("label"))
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
 
-    The ids are chosen on the label table alone, by hash; so few of them are sent to the documents.
-    """
-    ids = labels.where(f"{label} in (0, 1) and doc_id is not null").select("doc_id", F.col(label).cast("double").alias("label"))
-    ids = ids.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_labels)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+
+def with_texts(docs: DataFrame, ids: DataFrame, *columns: str) -> DataFrame:
+    """(text, label, *columns) of each of the labelled ids that a document has; of an id's rows, however many, one."""
+    row = F.struct(*(F.col(c) for c in ("text", *columns)))
+    found = docs.select("doc_id", row.alias("row")).join(F.broadcast(ids), "doc_id")
+    found = found.groupBy("doc_id").agg(F.min_by("row", F.xxhash64("row")).alias("row"), F.first("label").alias("label"))
+    return found.select("row.*", "label")
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, max_labels: int = MAX_LABELS) -> DataFrame:
+    """(text, label) of at most `max_labels` labelled documents outside the held-out fifth."""
+    taught = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
+    return with_texts(docs, labelled_ids(taught, label, max_labels))
 
 
-def scorer(spark: SparkSession, weights: tuple[np.ndarray, np.ndarray]) -> Callable[[pa.RecordBatch], np.ndarray]:
-    """A function that scores the texts of a batch; the weights are sent to each executor once."""
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(weights)
+class Scorer:
+    """Scores the texts of batches. The weights are sent to each executor once, and laid out once a task."""
 
-    def scores(batch: pa.RecordBatch) -> np.ndarray:
-        dense = np.zeros(1 << BITS)
-        dense[sent.value[0]] = sent.value[1]
-        return np.array([sigmoid(float(dense[idx] @ val)) for idx, val in featured(batch.column("text"), dense != 0)])
+    def __init__(self, spark: SparkSession, weights: tuple[np.ndarray, np.ndarray]):
+        small_batches(spark)
+        self.sent, self.dense = spark.sparkContext.broadcast(weights), None
 
-    return scores
+    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+        if self.dense is None:
+            self.dense = np.zeros(1 << BITS)
+            self.dense[self.sent.value[0]] = self.sent.value[1]
+            self.known = self.dense != 0
+        return np.array([sigmoid(float(self.dense[idx] @ val)) for idx, val in featured(batch.column("text"), self.known)])
 
 
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """(doc_id, score) of every row of `docs`."""
-    scores = scorer(docs.sparkSession, weights)
+    scores = Scorer(docs.sparkSession, weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,7 +141,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, that the classifier doesn't reject; no join, one pass."""
-    scores = scorer(docs.sparkSession, fit(labelled_rows(docs, labels, "quality")))
+    scores = Scorer(docs.sparkSession, fit(labelled_rows(docs, labels, "quality")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

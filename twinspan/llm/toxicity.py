@@ -8,9 +8,11 @@ sees them as wrong as they will be on new texts.
 The labelled table has one mark, `toxic`. The chain's categories are that mark within each of the
 languages, for abuse has words of its own in each, and last the mark itself, which takes all of them
 into account and gives the verdict. The language of a row is part of training labels only and never
-an input of a score.
+an input of a score; where documents have no column `lang`, only the last link learns.
 
-Learning takes at most `max_labels` labelled rows (those of least hash) and happens in one task; the
+Learning takes at most `max_labels` labelled documents (those whose ids have the least hash; of an id's several
+texts or marks one). They are gathered first, by many tasks, and written; one task learns from them, the models of all folds and
+the final one of a category side by side in the same runs. Features of fewer than `LEAST_ROWS` labelled rows teach nothing. The
 weights, at most 2**18 pairs a category, are sent to each executor; every whole text is read once,
 where it lies. Null and empty texts have the intercept alone. Rows without a mark of 0 or 1 teach nothing;
 without any labelled row every probability is 0.5, which is not a verdict. Repeated rows score alike.
@@ -18,22 +20,26 @@ without any labelled row every probability is 0.5, which is not a verdict. Repea
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspan.llm.ftrl import Ftrl, sigmoid
+from twinspan.llm.ftrl import Ftrl, sigmoids
+from twinspan.llm.quality_classifier import labelled_ids, with_texts
 from twinspan.llm.words import hashed_words, mixed, small_batches
+from twinspan.plans.scratch import free, save
 from twinspan.sources.tables import table
 
 BITS = 18
 LANGUAGES = ("de", "en", "es", "fr")
 CATEGORIES = (*(f"toxic_{x}" for x in LANGUAGES), "toxic")
 MAX_LABELS = 8000
-FOLDS = 2
+FOLDS = 3
+EPOCHS = 8
+LEAST_ROWS = 2
 #: Share of a row's features that an update sees: one abusive word must be enough, with no other beside it.
 KEPT = 0.7
 THRESHOLD = 0.5
@@ -51,26 +57,26 @@ def features(texts: pa.Array, known: np.ndarray | None = None) -> Iterator[np.nd
         yield np.concatenate(([0], found[found >= 64]))
 
 
-def _with_earlier(idx: np.ndarray, earlier: list[float]) -> tuple[np.ndarray, np.ndarray]:
-    """A row's features with its earlier probabilities, as features 1, 2 and so on."""
-    k = len(earlier)
-    return np.concatenate((idx, np.arange(1, k + 1))), np.concatenate((np.ones(len(idx)), earlier))
+def train_chain(rows: list[np.ndarray], marks: np.ndarray, folds: int = FOLDS, epochs: int = EPOCHS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(idx, weights) of each category's model; `marks` has a column for each category, in the chain's order.
 
-
-def train_chain(rows: list[np.ndarray], marks: np.ndarray, folds: int = FOLDS, epochs: int = 6) -> list[np.ndarray]:
-    """Weights of each category's model; `marks` has a column for each category, in the chain's order."""
-    earlier: list[list[float]] = [[] for _ in rows]
+    Of a category, one model a fold, which learns from the other folds, and one of all rows see each example at the same time.
+    A row's probabilities of earlier categories are its features 1, 2 and so on; they come from the models that haven't learnt from it.
+    """
+    idx, n = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_counts=True)
+    often = idx[n >= LEAST_ROWS]
+    rows = [x[(x == 0) | np.isin(x, often, assume_unique=True)] for x in rows]
+    fold = np.arange(len(rows)) % folds
+    taught = np.column_stack([*(fold != f for f in range(folds)), np.ones(len(rows), bool)])
+    earlier = np.zeros((len(rows), marks.shape[1]))
     out = []
     for c in range(marks.shape[1]):
-        full = [_with_earlier(x, e) for x, e in zip(rows, earlier, strict=True)]
-        y = marks[:, c]
-        model = lambda at: Ftrl(1 << BITS, alpha=1.0, beta=0.1, l1=4.0, l2=0.0).fit([full[i] for i in at], y[at], epochs, KEPT).weights()
-        for f in range(folds):
-            mine = np.arange(len(rows)) % folds == f
-            w = model(np.flatnonzero(~mine))
-            for i in np.flatnonzero(mine):
-                earlier[i].append(sigmoid(float(w[full[i][0]] @ full[i][1])))
-        out.append(model(np.arange(len(rows))))
+        chain = np.arange(1, c + 1)
+        full = [(np.concatenate((x[:1], chain, x[1:])), np.concatenate(([1.0], earlier[i, :c], np.ones(len(x) - 1)))) for i, x in enumerate(rows)]
+        seen, w = Ftrl(alpha=1.0, beta=0.1, l1=4.0, l2=0.0).fit(full, marks[:, c], epochs, taught, KEPT)
+        for i, (at, val) in enumerate(full):
+            earlier[i, c] = sigmoids(val @ w[np.searchsorted(seen, at), fold[i]])
+        out.append((seen, w[:, -1]))
     return out
 
 
@@ -83,45 +89,48 @@ def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Weight
             rows += features(batch.column("text"))
             marks += zip(*(batch.column(c).to_pylist() for c in categories), strict=True)
         order = sorted(range(len(rows)), key=lambda i: (mixed(rows[i].astype(np.uint64)).sum(), rows[i].tobytes(), marks[i]))
-        for c, w in enumerate(train_chain([rows[i] for i in order], np.array([marks[i] for i in order], float).reshape(len(order), len(categories)))):
+        for c, (idx, w) in enumerate(train_chain([rows[i] for i in order], np.array([marks[i] for i in order], float).reshape(len(order), len(categories)))):
             at = np.flatnonzero(w)
-            yield pa.RecordBatch.from_pydict({"category": pa.array([c] * len(at), pa.int64()), "idx": pa.array(at, pa.int64()), "weight": pa.array(w[at])})
+            yield pa.RecordBatch.from_pydict({"category": pa.array([c] * len(at), pa.int64()), "idx": pa.array(idx[at], pa.int64()), "weight": pa.array(w[at])})
 
     small_batches(labelled.sparkSession)
-    found = labelled.select("text", *categories).coalesce(1).mapInArrow(learn, "category long, idx long, weight double").toPandas()
+    gathered = save(labelled.select("text", *categories), "labelled")
+    found = gathered.coalesce(1).mapInArrow(learn, "category long, idx long, weight double").toPandas()
+    free(gathered)
     return [(g["idx"].to_numpy(np.int64), g["weight"].to_numpy(float)) for g in (found[found["category"] == c] for c in range(len(categories)))]
 
 
-def scorer(spark: SparkSession, weights: Weights) -> Callable[[pa.RecordBatch], np.ndarray]:
-    """A function from a batch with `text` to its rows' probabilities, one column for each category."""
-    small_batches(spark)
-    sent = spark.sparkContext.broadcast(weights)
-
-    def scores(batch: pa.RecordBatch) -> np.ndarray:
-        dense = np.zeros((len(sent.value), 1 << BITS))
-        for c, (idx, w) in enumerate(sent.value):
-            dense[c, idx] = w
-        out = np.zeros((batch.num_rows, len(dense)))
-        for i, idx in enumerate(features(batch.column("text"), dense.any(0))):
-            sums = dense[:, idx].sum(1)
-            for c in range(len(dense)):
-                out[i, c] = sigmoid(sums[c] + dense[c, 1 : c + 1] @ out[i, :c])
+class Scorer:
+    """From a batch with `text` to its rows' probabilities, one column for each category. Weights are laid out once a task."""
+
+    def __init__(self, spark: SparkSession, weights: Weights):
+        small_batches(spark)
+        self.sent, self.dense = spark.sparkContext.broadcast(weights), None
+
+    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+        if self.dense is None:
+            self.dense = np.zeros((len(self.sent.value), 1 << BITS))
+            for c, (idx, w) in enumerate(self.sent.value):
+                self.dense[c, idx] = w
+            self.known = self.dense.any(0)
+        out = np.zeros((batch.num_rows, len(self.dense)))
+        for i, idx in enumerate(features(batch.column("text"), self.known)):
+            sums = self.dense[:, idx].sum(1)
+            for c in range(len(self.dense)):
+                out[i, c] = sigmoids(sums[c] + self.dense[c, 1 : c + 1] @ out[i, :c])
         return out
 
-    return scores
-
 
 def _trained(docs: DataFrame, labels: DataFrame, max_labels: int) -> Weights:
-    ids = labels.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("double").alias("mark"))
-    ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(max_labels)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
-    within = [F.when(F.col("lang") == x, F.col("mark")).otherwise(0.0).alias(f"toxic_{x}") for x in LANGUAGES]
-    return fit(rows.select("text", *within, F.col("mark").alias("toxic")))
+    docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
+    rows = with_texts(docs, labelled_ids(labels, "toxic", max_labels), "lang")
+    within = [F.when(F.col("lang") == x, F.col("label")).otherwise(0.0).alias(f"toxic_{x}") for x in LANGUAGES]
+    return fit(rows.select("text", *within, F.col("label").alias("toxic")))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
     """(doc_id, toxic 0 or 1, score, and p_<category> for each link of the chain) for every document."""
-    scores = scorer(docs.sparkSession, _trained(docs, labels, max_labels))
+    scores = Scorer(docs.sparkSession, _trained(docs, labels, max_labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -135,7 +144,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -
 
 def keep(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
     """The rows of `docs`, with all their columns, that aren't found toxic; no join, one pass."""
-    scores = scorer(docs.sparkSession, _trained(docs, labels, max_labels))
+    scores = Scorer(docs.sparkSession, _trained(docs, labels, max_labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
