@@ -75,7 +75,7 @@ def near_corpus():
     return {d: texts[i] for d, i in enumerate(order)}
 
 
-@pytest.mark.parametrize(("k", "similarity", "stars"), [(3, (9, 10), 1), (5, (4, 5), 2), (3, (9, 10), 0), (5, (4, 5), 1)])
+@pytest.mark.parametrize(("k", "similarity", "stars"), [(3, (9, 10), 1), (5, (4, 5), 2), (3, (9, 10), 0)])
 def test_jaccard_join_by_brute_force(spark, k, similarity, stars):
     texts = near_corpus()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
@@ -103,6 +103,20 @@ def test_prefixes_of_similar_sets_meet(n, similarity):
         assert jaccard_join.similar([a], [b], np.ones((1, 1), bool), similarity).all()
 
 
+@pytest.mark.parametrize("stars", [0, 1])
+def test_jaccard_join_in_small_blocks_and_with_shuffled_ids(spark, monkeypatch, stars):
+    """Blocks of few nodes, no table of ids sent, and an id of two texts of one size, each near another document."""
+    for name, value in (("BLOCK_NODES", 4), ("SENT", 0)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    texts = near_corpus()
+    rng = random.Random(2)
+    one, two = ([f"v{rng.randint(0, 10**6)}" for _ in range(100)] for _ in range(2))
+    rows = [*texts.items(), (1005, " ".join(one)), (1005, " ".join(two)), (1001, " ".join([*one[:-1], "x"])), (1002, " ".join([*two[:-1], "y"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs, 3, (9, 10), stars).collect()}
+    assert found == {d: c for d, (_, c) in brute_components(texts, 3, 9, 10).items()} | {1001: 1001, 1002: 1001, 1005: 1001}
+
+
 def test_jaccard_join_on_odd_rows(spark):
     rows = jaccard_join.near_duplicates(odd_documents(spark)).collect()
     assert len(rows) == odd_documents(spark).count()
@@ -266,8 +280,13 @@ def test_warc_query(spark):
     assert {r.page_id for r in found} == {r.page_id for r in hit.collect()} and len(found) == hit.count() > 0
     assert all(r.hash == digests[r.page_id] != r.other_hash for r in found)
     odd = spark.createDataFrame([(None, None, None), (1, "u", None), (1, "u", None)], "page_id long, url string, html string")
-    assert warc_fixity.laid_out(warc_fixity.records(odd), [F.col("page_id")]).count() == 3
-    assert warc_fixity.laid_out(warc_fixity.records(odd.limit(0)), [F.col("page_id")]).count() == 0
+    narrow = warc_fixity.records(odd.union(pages.select(odd.columns))).select("page_id", F.length("record").cast("long").alias("length"), F.lit(7).alias("file"))
+    laid = warc_fixity.laid_out(narrow, ["page_id"], 1 << 16).collect()
+    assert len(laid) == narrow.count() and len({(r.file, r.number) for r in laid}) == len(laid) and len({r.file for r in laid}) > 1
+    ends = {(r.file, r.number): r.offset + r.length for r in laid}
+    assert all(r.offset == ends.get((r.file, r.number - 1), 0) for r in laid)
+    assert sorted(laid, key=str) == sorted(warc_fixity.laid_out(narrow.repartition(7), ["page_id"], 1 << 16).collect(), key=str)
+    assert warc_fixity.laid_out(narrow.limit(0), ["page_id"]).count() == 0
 
 
 def test_pipeline_stages(spark):

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from twinspan.llm.words import small_batches
+from twinspan.plans.scratch import bounded_batches
 from twinspan.sources.tables import table
 
 
@@ -273,7 +273,7 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page, from its whole html."""
-    small_batches(pages.sparkSession)
+    bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

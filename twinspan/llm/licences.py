@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from twinspan.llm.words import small_batches
+from twinspan.plans.scratch import bounded_batches
 from twinspan.sources.tables import table
 
 LEAST = 0.8
@@ -332,7 +332,7 @@ def scan(docs: DataFrame) -> DataFrame:
     document with several notices gives several, and repeated rows are scanned each for itself. On equal
     values the first template by name is given.
     """
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner()

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinspan.plans.scratch import save
+from twinspan.plans.scratch import bounded_batches, save
 from twinspan.sources.tables import table
 
 TOP = 20
@@ -122,7 +122,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, share: float =
     vectors: (vec_id, embedding). Vectors that are null, zero, or hold null or non-finite components,
     and such of another length than most (the shorter on a tie), take no part, nor do rows without an
     id. A row is never its own neighbour; rows that repeat an id count once each as candidates of others, and
-    a repeated query is answered once. With fewer candidates than `top`, all are given. Ties go to the
+    a repeated query is answered once, for the least of its vectors. With fewer candidates than `top`, all are given. Ties go to the
     smaller vec_id. An empty table gives no rows. Columns beside the two are left alone.
     """
     spark = vectors.sparkSession
@@ -138,7 +138,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, share: float =
     sent = spark.sparkContext.broadcast(pivots(np.array(sample.tolist())))  # at most PIVOTS vectors
 
     data, _ = _blocks(rows.select("vec_id", "v"), BLOCK, "block")
-    asked, count = _blocks(rows.where("is_query").select("vec_id", "v").dropDuplicates(["vec_id"]), QUERY_BLOCK, "asked")
+    asked, count = _blocks(rows.where("is_query").groupBy("vec_id").agg(F.min("v").alias("v")), QUERY_BLOCK, "asked")
     asked = save(asked.select("asked", F.col("ids").alias("query_ids"), F.col("vectors").alias("queries")), "queries")
     pairs = data.withColumn("asked", F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"))).join(asked, "asked")
 
@@ -158,7 +158,7 @@ def nearest(vectors: DataFrame, is_query: Column, top: int = TOP, share: float =
                     "score": pa.array(np.concatenate([x[2] for x in found])),
                 })
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    bounded_batches(spark)
     found = pairs.select("block", "ids", "vectors", "query_ids", "queries").mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= top)

@@ -23,8 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from twinspan.llm.words import small_batches
-from twinspan.plans.scratch import save
+from twinspan.plans.scratch import bounded_batches, save
 from twinspan.sources.tables import table
 
 CAPACITY = 2048
@@ -34,7 +33,8 @@ GROUP = 20_000
 NEAR = 32
 #: Documents of a sequence, the shortest, that are tried in twos.
 PAIRED = 16
-MEMO = 600_000
+#: Words, and pieces of words, whose ids a worker keeps: some 20 MB of each.
+MEMO = 100_000
 
 # The word pattern of word_bpe_49k for texts of ASCII and Latin-1 letters.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
@@ -90,7 +90,7 @@ def _word_ids(path: str) -> WordIds:
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document: its ids, then id 0, cut at `capacity`."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _word_ids(path)

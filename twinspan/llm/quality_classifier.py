@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspan.llm.ftrl import Ftrl, sigmoid
-from twinspan.llm.words import hashed_words, small_batches
-from twinspan.plans.scratch import free, save
+from twinspan.llm.words import hashed_words
+from twinspan.plans.scratch import bounded_batches, free, save
 from twinspan.sources.tables import table
 
 BITS = 18
@@ -104,7 +104,7 @@ class Scorer:
     """Scores the texts of batches. The weights are sent to each executor once, and laid out once a task."""
 
     def __init__(self, spark: SparkSession, weights: tuple[np.ndarray, np.ndarray]):
-        small_batches(spark)
+        bounded_batches(spark)
         self.sent, self.dense = spark.sparkContext.broadcast(weights), None
 
     def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
@@ -129,7 +129,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every document; learns from labels.quality."""
-    small_batches(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     scored = score(docs, fit(labelled_rows(docs, labels, "quality", max_labels)))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from twinspan.llm.ftrl import Ftrl, sigmoids
 from twinspan.llm.quality_classifier import labelled_ids, with_texts
-from twinspan.llm.words import hashed_words, mixed, small_batches
-from twinspan.plans.scratch import free, save
+from twinspan.llm.words import hashed_words, mixed
+from twinspan.plans.scratch import bounded_batches, free, save
 from twinspan.sources.tables import table
 
 BITS = 18
@@ -93,7 +93,7 @@ def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Weight
             at = np.flatnonzero(w)
             yield pa.RecordBatch.from_pydict({"category": pa.array([c] * len(at), pa.int64()), "idx": pa.array(idx[at], pa.int64()), "weight": pa.array(w[at])})
 
-    small_batches(labelled.sparkSession)
+    bounded_batches(labelled.sparkSession)
     gathered = save(labelled.select("text", *categories), "labelled")
     found = gathered.coalesce(1).mapInArrow(learn, "category long, idx long, weight double").toPandas()
     free(gathered)
@@ -104,7 +104,7 @@ class Scorer:
     """From a batch with `text` to its rows' probabilities, one column for each category. Weights are laid out once a task."""
 
     def __init__(self, spark: SparkSession, weights: Weights):
-        small_batches(spark)
+        bounded_batches(spark)
         self.sent, self.dense = spark.sparkContext.broadcast(weights), None
 
     def __call__(self, batch: pa.RecordBatch) -> np.ndarray:

@@ -5,7 +5,7 @@ records' hashes with their offsets and ends; a node above covers `FAN` consecuti
 their numbers, ranges and hashes in order. Ranges of bytes that can't be read as records are leaves too. Replicas agree if the roots do. Where roots differ only the children of the nodes that
 differ are compared, level by level, down to the records that differ, or that one replica lacks.
 
-Hashing the records is one pass over the bytes, after which only hashes travel. A level is a
+Hashing the records is one pass over the bytes, where they lie; only hashes and lengths travel. A level is a
 grouping on (file, number div FAN), which bounds every group by FAN rows, and is a FANth of the level below. Only
 the levels' mismatching rows take part in the descent.
 """
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from twinspan.plans.scratch import save
+from twinspan.plans.scratch import bounded_batches, save
 from twinspan.sources.tables import table
 
 FAN = 16
@@ -39,7 +39,10 @@ def record_head(uri: Column, length: Column, date: str = "2024-01-01T00:00:00Z")
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """(page_id, record): each page as the bytes of a WARC record; null html is an empty body."""
+    """(page_id, record): each page as the bytes of a WARC record; null html is an empty body, a null url an empty one.
+
+    Repeated rows are records of their own; columns beside page_id, url and html are left alone.
+    """
     body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     return pages.select("page_id", F.concat(record_head(F.col("url"), F.length(body)).cast("binary"), body, F.lit(CRLF + CRLF).cast("binary")).alias("record"))
 
@@ -125,24 +128,29 @@ def read_warc(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(paths).select("path", "content")
     return files.mapInArrow(run, "file string, number long, offset long, length long, uri string, body binary, record binary")
 
 
-def laid_out(rows: DataFrame, order: list[Column], file_bytes: int = FILE_BYTES) -> DataFrame:
-    """Adds file, number, offset and length to rows with `record`, as a writer would lay them out.
+def laid_out(rows: DataFrame, order: list[str], file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Adds file, number and offset to narrow rows with `length`, as a writer would lay records of such lengths out.
 
-    Rows are dealt to as many files as their bytes need, by row and not by any value, and lie in a file in the
-    given order. A file is a bounded group, so numbering within it needs no more than one task's memory.
+    Rows are dealt to as many files as their bytes need, by a hash of all their columns, and lie in a file in the
+    given order, ties by that hash; so a layout depends on the rows alone. Rows that repeat are told apart by a running
+    number, so that they are dealt like others: each file is a bounded group. Input columns of these three names are replaced; an
+    empty table gives no rows.
     """
-    total = rows.agg(F.sum(F.length("record").cast("long"))).first()[0] or 0
+    rows = rows.drop("file", "number", "offset", "_copy", "_times", "_at")
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    total = rows.agg(F.sum("length")).first()[0] or 0
     files = max(1, -(-total // file_bytes))
-    dealt = rows.withColumn("file", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(files)))
-    w = Window.partitionBy("file").orderBy(*order)
-    length = F.length("record").cast("long")
-    before = F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - length
-    return dealt.withColumn("number", (F.row_number().over(w) - 1).cast("long")).withColumn("offset", before).withColumn("length", length)
+    counted = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_times"))
+    copies = counted.select(*columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times"))).alias("_copy"))
+    copies = copies.withColumn("_at", F.xxhash64(*columns, "_copy")).withColumn("file", F.pmod("_at", F.lit(files)))
+    w = Window.partitionBy("file").orderBy(*order, "_at")
+    before = F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("length")
+    return copies.select(*columns, "file", (F.row_number().over(w) - 1).cast("long").alias("number"), before.alias("offset"))
 
 
 def leaves(rows: DataFrame) -> DataFrame:
@@ -171,9 +179,10 @@ def audit(ours: DataFrame, theirs: DataFrame, fan: int = FAN) -> DataFrame:
     """(file, number, offset, length, hash, other_hash) of each record that differs between two replicas, in its bytes or its place.
 
     ours, theirs: (file, number, offset, end, hash) of the replicas' records. A record that a replica lacks
-    has a null hash there, and the other's place. Equal replicas, or empty ones, give no rows.
+    has a null hash there, and the other's place. Equal replicas, or empty ones, give no rows. (file, number) tells a record, so rows
+    without either take no part and no replica repeats one.
     """
-    a, b = tree(ours, fan), tree(theirs, fan)
+    a, b = (tree(x.where("file is not null and number is not null"), fan) for x in (ours, theirs))
     for levels in (a, b):  # the smaller replica's roots are carried up, so that levels meet
         while len(levels) < max(len(a), len(b)):
             levels.append(_above(levels[-1], fan))
@@ -200,9 +209,8 @@ def damaged(record: Column, page: Column) -> Column:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as WARC records, audited against a replica that is damaged in known places."""
-    rows = laid_out(records(table(spark, sf_dir, "pages")), [F.col("page_id"), F.xxhash64("record")])
-    end = F.col("offset") + F.col("length")
-    theirs = F.sha2(damaged(F.col("record"), F.col("page_id")), 256)
-    both = save(rows.select("page_id", "file", "number", "offset", end.alias("end"), F.sha2("record", 256).alias("ours"), theirs.alias("theirs")), "digests")
+    theirs = F.sha2(damaged(F.col("record"), F.col("page_id")), 256).alias("theirs")
+    hashed = records(table(spark, sf_dir, "pages")).select("page_id", F.length("record").cast("long").alias("length"), F.sha2("record", 256).alias("ours"), theirs)
+    both = save(laid_out(hashed, ["page_id"]).withColumn("end", F.col("offset") + F.col("length")), "digests")
     found = audit(*(both.select("file", "number", "offset", "end", F.col(c).alias("hash")) for c in ("ours", "theirs")))
     return found.join(both.select("page_id", "file", "number"), ["file", "number"]).select("page_id", "file", "number", "offset", "length", "hash", "other_hash")
