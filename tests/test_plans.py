@@ -58,7 +58,9 @@ def test_simulated_copies_are_found(spark, tmp_path):
     truth = evaluation.simulate(str(tmp_path / "sim.fa"), {f"chr{i}": 200_000 for i in range(1, 6)}, 12, ortholog_rate=0.3, seed=3)
     assert len(truth.pairs) >= 10
     row = evaluation.timed_run(spark, truth, Params())
-    assert row["Recall_frag"] >= 0.95 and row["Recall_bp"] >= 0.95 and row["Recall_pair"] >= 0.6  # an ortholog's flanks make its region longer than its pair
+    assert row["Recall_frag"] >= 0.95 and row["Recall_bp"] >= 0.95 and row["Memory(MB)"] > 0
+    told = [(a, b) for a, b in truth.pairs if a[0] != b[0] or a[1] < b[1]]  # pairs within a chromosome are compared in the order of the file
+    assert row["Recall_pair"] * len(truth.pairs) >= 0.9 * len(told)
 
 
 def test_sweep_and_report(spark, tmp_path):

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import gzip
 
+import pytest
 from pyspark.sql import functions as F
 
 from twinspan.functions import labels
@@ -61,11 +62,14 @@ def test_cluster_files(spark, tmp_path):
     path.write_text("c1 0 10 1 7\nc2 0 10 1 7\nc3 0 10 1 0\nc4 0 10 1 0\n")
     assert intervals.cluster_pairs(bed.cluster_members(spark, str(path)), ["line_no"]).count() == 5
     assert intervals.cluster_pairs(bed.cluster_members(spark, str(path)), ["line_no"], False).count() == 6
+    path.write_text("c1 0 10 1\nc2 x 10 1\n")
+    with pytest.raises(Exception, match="not a whole number: x"):
+        bed.cluster_members(spark, str(path)).collect()
     path.write_text("c1\t0\t10\t1\nc1\t0\t10\t1\n")
     lines = intervals.pair_lines(bed.tab_members(spark, str(path)), ["line_no"])
     assert [tuple(r) for r in lines.collect()] == [("c1", "0", "10", "c1:0-10", "0", "+", "0", "10", "139,139,139")] * 2
     bed.write_pair_lines(lines, str(tmp_path / "out"))
-    assert spark.read.text(str(tmp_path / "out")).first()[0] == "c1\t0\t10\tc1:0-10\t0\t+\t0\t10\t139,139,139"
+    assert (tmp_path / "out").read_text().splitlines()[0] == "c1\t0\t10\tc1:0-10\t0\t+\t0\t10\t139,139,139"
 
 
 def test_nothing_found_writes_nothing(spark, tmp_path):
@@ -89,3 +93,24 @@ def test_documents_without_a_source(spark, tmp_path):
         frame = catalogue.QUERIES[name](spark, str(tmp_path)).select(*found.columns)
         rows = sorted(map(repr, (tuple(r) for r in frame.collect())))
         assert rows == sorted(map(repr, found.fetchall())) and rows
+
+
+def test_a_long_sequence_is_the_work_of_many_tasks(spark):
+    from twinspan.operators.windows import number_sequences, window_sketches
+    from twinspan.params import Params
+
+    rows = spark.createDataFrame([(0, "g", "s", 0, "ACGTTGCA" * 400_000)], "file_id int, genome string, seq string, record_no long, bases string")
+    found = window_sketches(number_sequences(rows, Params()), Params())
+    tasks = found.select(F.spark_partition_id().alias("t"), "window_id").groupBy("t").count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == (3_200_000 - 1024) // 341 + 1
+
+
+def test_record_files(spark):
+    from twinspan.sources.records import article_files, record_files
+
+    one = '{"files": [{"links": {"content": "u1", "self": "u2"}, "key": "a"}, {"links": {"self": "u3"}, "filename": "b"}, {"download_url": "u4", "key": ""}, {"key": "c"}]}'
+    rows = spark.createDataFrame([(one,), ("{}",), ("no json",), (None,)], "j string")
+    assert [tuple(r) for r in rows.select(F.inline(record_files(F.col("j")))).collect()] == [("u1", "a"), ("u3", "b")]
+    two = '[{"download_url": "u1", "name": "a"}, {"download_url": "", "name": "b"}, {"name": "c"}]'
+    rows = spark.createDataFrame([(two,), ("[]",), (None,)], "j string")
+    assert [tuple(r) for r in rows.select(F.inline(article_files(F.col("j")))).collect()] == [("u1", "a")]

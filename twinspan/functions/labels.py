@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 ACCESSIONS = {f"NC_0609{24 + n}.1": f"chr{n}" for n in range(1, 23)} | {"NC_060947.1": "chrX", "NC_060948.1": "chrY", "NC_012920.1": "chrM"}
 
 
+# Fixed value: the pattern of names and commands of sequence files and archives.
+FASTA_PATTERN = r"\.(fa|fasta|fna|gfa)(\.gz)?(\s|$)|chromosome\.fa|genome\.fa|\.tar\.gz|\.tgz|\.zip|-A"
+
+
 def genome_label(path: Column) -> Column:
-    """A file's name without folder, without one compression suffix, then without one sequence suffix; 255 bytes at most."""
+    """A file's name without folder, without one compression suffix, then without one sequence suffix; 255 characters at most."""
     name = F.substring(F.regexp_extract(path, r"([^/]*)$", 1), 1, 255)
     return F.regexp_replace(F.regexp_replace(name, r"\.(gz|bgz)$", ""), r"\.(fa|fna|fasta|fastq|fq)$", "")
 
@@ -28,4 +32,4 @@ def accession_label(name: Column) -> Column:
 
 def is_fasta(text: Column) -> Column:
     """Whether a file name or download command looks like one of sequences or an archive of them."""
-    return text.rlike(r"\.(fa|fasta|fna|gfa)(\.gz)?(\s|$)|chromosome\.fa|genome\.fa|\.tar\.gz|\.tgz|\.zip|-A")
+    return text.rlike(FASTA_PATTERN)

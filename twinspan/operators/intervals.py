@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BIN = 1 << 14
+#: Bases of a range whose intervals one task puts in order.
+RANGE = 1 << 22
 
 
 def _bins(start: Column, end: Column) -> Column:
@@ -20,11 +22,21 @@ def _bins(start: Column, end: Column) -> Column:
 
 
 def merge(intervals: DataFrame) -> DataFrame:
-    """(chrom, start, end): intervals that overlap or touch made one, by chromosome."""
-    w = Window.partitionBy("chrom").orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = intervals.select("chrom", "start", "end").withColumn("new", F.coalesce((F.col("start") > reach).cast("int"), F.lit(1)))
-    rows = rows.withColumn("island", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    """(chrom, start, end): intervals that overlap or touch made one, by chromosome.
+
+    Intervals are put in order within ranges of `RANGE` bases, each a task's; what a range needs of those before it,
+    how far they reach and where their last island starts, are one row for each range, and only these are put in order by chromosome.
+    """
+    rows = intervals.select("chrom", "start", "end", F.floor(F.col("start") / RANGE).alias("range"))
+    near = Window.partitionBy("chrom", "range").orderBy("start", "end")
+    earlier = Window.partitionBy("chrom").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = rows.groupBy("chrom", "range").agg(F.max("end").alias("far")).withColumn("before", F.max("far").over(earlier)).drop("far")
+    rows = rows.join(ranges, ["chrom", "range"])
+    reach = F.greatest("before", F.max("end").over(near.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("first", F.when(F.coalesce(F.col("start") > reach, F.lit(True)), F.col("start")))
+    lasts = rows.groupBy("chrom", "range").agg(F.max("first").alias("last")).withColumn("open", F.max("last").over(earlier)).drop("last")
+    island = F.coalesce(F.max("first").over(near.rowsBetween(Window.unboundedPreceding, Window.currentRow)), F.col("open"))
+    rows = rows.join(lasts, ["chrom", "range"]).withColumn("island", island)
     return rows.groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 

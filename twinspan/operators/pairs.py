@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from twinspan.operators.windows import hash_counts, windows_of_hash
+from twinspan.plans.scratch import bounded_batches
 from twinspan.params import LOOKAHEAD, MAX_HASH_WINDOWS, MIN_SHARED, NEXT_WINDOWS, Params
 
 
@@ -91,7 +92,7 @@ def collinear_pairs(pairs: DataFrame, windows: DataFrame, p: Params) -> DataFram
     side = lambda x: near.select(F.col("window_id").alias(f"w{x}"), F.col("seq_id").alias(f"q{x}"), F.col("near").alias(f"n{x}"))
     both = pairs.join(side("a"), "wa").join(side("b"), "wb").select(*pairs.columns, (F.col("qa") == F.col("qb")).alias("same_seq"), "na", "nb")
     columns = pairs.columns
-    pairs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    bounded_batches(pairs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from twinspan.functions import hashing
 from twinspan.operators.numbering import running
 from twinspan.params import Params
-from twinspan.plans.scratch import save
+from twinspan.plans.scratch import bounded_batches, save
 
 #: Windows of a piece of a sequence, which one row holds and one task sketches.
 PIECE = 2048
@@ -35,30 +35,42 @@ def window_sketches(numbered: DataFrame, p: Params) -> DataFrame:
     """(window_id, seq_id, file_id, window_idx, valid_bases, sketch) of every window.
 
     Long sequences are cut into pieces that overlap so that each window lies in one; a piece's k-mers are
-    hashed once, not once a window. A window with too few valid bases keeps its row and has an empty sketch.
+    hashed once, not once a window; the pieces are dealt to tasks anew, so that a long sequence is the work of many. A window with too few valid bases keeps its row and has an empty sketch.
     """
     first = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_windows") - 1, F.lit(PIECE).cast("long")))
     pieces = numbered.select("seq_id", "file_id", "first_window", "n_windows", "bases", first.alias("at"))
     take = (F.least(F.lit(PIECE), F.col("n_windows") - F.col("at")) - 1) * p.stride + p.window
     pieces = pieces.select("seq_id", "file_id", "first_window", "at", F.substring("bases", (F.col("at") * p.stride + 1).cast("int"), take.cast("int")).alias("piece"))
-    numbered.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
+    spark = numbered.sparkSession
+    pieces = pieces.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "seq_id", "at")  # a number, for few bytes are much work
+    bounded_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = [batch.column(c).to_pylist() for c in ("seq_id", "file_id", "first_window", "at")]
+            columns: list[list[np.ndarray]] = [[] for _ in range(6)]
             for seq_id, file_id, first_window, at, piece in zip(*ids, batch.column("piece").to_pylist(), strict=True):
                 found = list(hashing.sketches(piece.encode("latin-1", "replace"), p))
                 idx = np.arange(at, at + len(found))
-                ends = np.concatenate(([0], np.cumsum([len(s) for _, s in found]))).astype(np.int32)
-                flat = np.concatenate([s for _, s in found]).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(idx + first_window), pa.array(np.full(len(idx), seq_id, np.int64)), pa.array(np.full(len(idx), file_id, np.int32)), pa.array(idx.astype(np.int32)),
-                    pa.array([n for n, _ in found], pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                ], ["window_id", "seq_id", "file_id", "window_idx", "valid_bases", "sketch"])
+                mine = (idx + first_window, np.full(len(idx), seq_id, np.int64), np.full(len(idx), file_id, np.int32), idx.astype(np.int32), np.array([n for n, _ in found], np.int32))
+                for column, values in zip(columns, mine, strict=False):
+                    column.append(values)
+                columns[5] += [s for _, s in found]
+            if columns[0]:
+                ends = np.concatenate(([0], np.cumsum([len(s) for s in columns[5]]))).astype(np.int32)
+                sketches = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(columns[5]).astype(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in columns[:5]), sketches], ["window_id", "seq_id", "file_id", "window_idx", "valid_bases", "sketch"])
 
     return pieces.mapInArrow(run, "window_id long, seq_id long, file_id int, window_idx int, valid_bases int, sketch array<bigint>")
 
 
+def window_ids(numbered: DataFrame) -> DataFrame:
+    """(window_id, seq_id, file_id, window_idx) of every window, without a look at the bases."""
+    idx = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_windows") - 1))
+    rows = numbered.select("first_window", "seq_id", "file_id", idx.alias("window_idx"))
+    return rows.select((F.col("first_window") + F.col("window_idx")).alias("window_id"), "seq_id", "file_id", "window_idx")
+
+
 def postings(windows: DataFrame) -> DataFrame:
     """(hash, window_id, seq_id, window_idx): a row for each hash of each window."""
     return windows.select(F.explode("sketch").alias("hash"), "window_id", "seq_id", "window_idx")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,11 +14,16 @@ from twinspan.params import Params
 from twinspan.plans import oracle
 from twinspan.plans.duplications import Search
 from twinspan.plans.evaluation import group_means, melted
+from twinspan.plans.scratch import keep, root
+from twinspan.sources import bed
 from twinspan.sources.bridge import document_sequences, line_intervals
+from twinspan.sources.records import record_files
 from twinspan.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Windows of more k-mers than a sketch may have.
+CAPPED = Params(window=4096, scale=1)
 DEFAULT, MAP, THREE, MASKED = Params(), Params(min_copies=1), Params(min_copies=3), Params(masked=True)
 #: A shorter k-mer, at which the share of the larger sketch decides what is similar, and not the least number.
 SHORT = Params(k=11)
@@ -80,6 +86,56 @@ def _copies_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_type", "user_id", "value")
 
 
+def _text(lines: DataFrame, name: str) -> str:
+    """The path of a folder of text, of rows of one column."""
+    path = f"{root(lines.sparkSession)}/twinspan/{uuid.uuid4().hex}-{name}"
+    lines.write.text(path)
+    keep(lines.sparkSession, path)
+    return path
+
+
+def _bed_text(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Line items as lines of a file of intervals: BED, BEDPE, comments, blank lines, and lines whose end is no number."""
+    rows = line_intervals(spark, sf_dir).withColumn("kind", F.col("start") % 5)
+    own = F.concat(F.lit("g-"), "chrom"), F.col("start").cast("string"), F.col("end").cast("string")
+    other = F.lit("chr9"), (F.col("start") + 50).cast("string"), (F.col("end") + 50).cast("string")
+    line = F.when(F.col("kind") < 2, F.concat_ws("\t", *own, F.col("cluster_id").cast("string"))).when(F.col("kind") == 2, F.concat_ws("  ", *own, *other))
+    line = line.when(F.col("kind") == 3, F.concat_ws(" ", *own[:2], F.lit("x"), *other)).otherwise(F.when(F.col("start") % 2 == 0, F.concat(F.lit("#"), own[0])).otherwise(F.lit(" \t")))
+    return _text(rows.select(line.alias("value")), name)
+
+
+_BED_TEXT_SQL = """with t as (select 'chr' || (l_suppkey % 5 + 1) as chrom, l_partkey * 100 + l_linenumber * 7 as start, l_partkey * 100 + l_linenumber * 7 + cast(l_quantity as bigint) * 20 as "end" from lineitem)"""
+
+
+def _cluster_text(spark: SparkSession, sf_dir: str, name: str, accessions: bool = False) -> str:
+    """The clusters of line items as lines parted by tabs."""
+    names = F.array(*map(F.lit, labels.ACCESSIONS))
+    chrom = F.concat(F.lit("t2t-"), F.element_at(names, (F.col("cluster_id") % len(labels.ACCESSIONS) + 1).cast("int"))) if accessions else F.concat(F.lit("g-"), "chrom")
+    rows = _members(spark, sf_dir).select(F.concat_ws("\t", chrom, "start", "end", "cluster_id").alias("value"))
+    return _text(rows, name)
+
+
+_ACCESSION_SQL = "[" + ", ".join(f"'{x}'" for x in labels.ACCESSIONS) + "]"
+
+
+def _pair_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of clusters' members, written as lines and read again."""
+    members = bed.tab_members(spark, _cluster_text(spark, sf_dir, "tabs")).drop("line_no").distinct()
+    path = f"{root(spark)}/twinspan/{uuid.uuid4().hex}-lines"
+    bed.write_pair_lines(intervals.pair_lines(members, ORDER), path)
+    keep(spark, path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, url, name) of the files that answers made from the pages list; every third entry lacks a name."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url")
+    name = F.when(F.col("page_id") % 3 != 0, F.concat(F.lit("f"), "page_id"))
+    entry = F.struct(F.struct(F.when(F.col("page_id") % 2 == 0, F.col("url")).alias("content"), F.concat("url", F.lit("?self")).alias("self")).alias("links"), name.alias("key"))
+    answers = rows.select("page_id", F.to_json(F.struct(F.array(entry, entry).alias("files"))).alias("answer"))
+    return answers.select("page_id", F.inline(record_files(F.col("answer"))))
+
+
 def _shapes(s: Search) -> DataFrame:
     return s.windows.select("window_id", "seq_id", "file_id", F.col("window_idx").cast("long").alias("window_idx"), F.col("valid_bases").cast("long").alias("valid_bases"))
 
@@ -91,11 +147,12 @@ def _sketch_sizes(s: Search) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "seq_projection": lambda spark, d: windows.number_sequences(document_sequences(spark, d), DEFAULT).select("file_id", "genome", "seq", "seq_id", "len", "n_windows", F.md5("bases").alias("bases_md5")),
     "basename_labels": _paths,
-    "windows": _search(lambda s: _shapes(s).drop("valid_bases")),
+    "windows": _search(lambda s: windows.window_ids(s.numbered)),
     "valid_bases": _search(lambda s: _shapes(s).select("window_id", "valid_bases"), MASKED),
     "kmer_hashes": _search(lambda s: s.postings.select("hash", "window_id")),
     "sketch_sizes": _search(_sketch_sizes),
     "masked_sketch_sizes": _search(_sketch_sizes, MASKED),
+    "capped_sketch_sizes": _search(_sketch_sizes, CAPPED),
     "hash_frequency": _search(lambda s: windows.hash_counts(s.postings).groupBy("n").agg(F.count(F.lit(1)).alias("hashes"))),
     "raw_pairs": _search(lambda s: pairs.raw_pairs(s.postings, s.p)),
     "candidate_pairs": _search(lambda s: s.candidates),
@@ -125,6 +182,12 @@ QUERIES: dict[str, Query] = {
     "metric_unpivot": lambda spark, d: melted(table(spark, d, "part").select("p_partkey", F.col("p_retailprice").alias("Recall_bp"), F.col("p_size").cast("double").alias("Precision_bp")), ["p_partkey"], {"Recall_bp": "Recall", "Precision_bp": "Precision"}),
     "href_extract": _hrefs,
     "fasta_classifier_summary": _classified,
+    "bed_intervals": lambda spark, d: bed.parse_intervals(spark, _bed_text(spark, d, "bed")),
+    "bedpe_pairs": lambda spark, d: bed.parse_pairs(spark, _bed_text(spark, d, "bedpe")),
+    "cluster_bed_pairs": lambda spark, d: intervals.cluster_pairs(bed.cluster_members(spark, _cluster_text(spark, d, "clusters")).drop("line_no").distinct(), ORDER),
+    "normalised_intervals": lambda spark, d: bed.normalised_intervals(spark, _cluster_text(spark, d, "accessions", accessions=True)),
+    "pair_lines_text": _pair_text,
+    "record_files": _answers,
 }
 
 
@@ -133,7 +196,6 @@ def _chain(p: Params, upto: str, select: str) -> str:
 
 
 _ENDS_SQL = "[" + ", ".join(f"'{x}'" for x in PATH_ENDS) + "]"
-_FASTA_SQL = r"\.(fa|fasta|fna|gfa)(\.gz)?(\s|$)|chromosome\.fa|genome\.fa|\.tar\.gz|\.tgz|\.zip|-A"
 _SIZES_SQL = "select v.window_id, count(p.hash) as n, cast(coalesce(sum(p.hash), 0) as bigint) as hash_sum from valids v left join postings p on p.window_id = v.window_id group by v.window_id"
 _BED_SQL = 'select chrom, start, "end", cluster_id from bed'
 
@@ -146,6 +208,7 @@ select s_suppkey, path, regexp_replace(regexp_replace(regexp_extract(path, '([^/
     "kmer_hashes": _chain(DEFAULT, "postings", "select hash, window_id from postings"),
     "sketch_sizes": _chain(DEFAULT, "postings", _SIZES_SQL),
     "masked_sketch_sizes": _chain(MASKED, "postings", _SIZES_SQL),
+    "capped_sketch_sizes": _chain(CAPPED, "postings", _SIZES_SQL),
     "hash_frequency": _chain(DEFAULT, "hash_n", "select n, count(*) as hashes from hash_n group by n"),
     "raw_pairs": _chain(DEFAULT, "raw", "select hash, wa, wb from raw"),
     "candidate_pairs": _chain(DEFAULT, "cand", "select wa, wb from cand"),
@@ -179,6 +242,13 @@ union all select p_partkey, 'Precision', p_size::double from part""",
     "href_extract": """select page_id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) as href from pages""",
     "fasta_classifier_summary": f"""with rows as (select regexp_extract(url, '^https?://([^/]+)', 1) as module, url from pages),
 queued as (select module, url as item from rows union all select module, url || '/genome.fa.gz' from rows where not contains(url, '?')),
-f as (select module, count(*) as total, count(*) filter (where regexp_matches(item, '{_FASTA_SQL}')) as matched from queued group by module)
+f as (select module, count(*) as total, count(*) filter (where regexp_matches(item, '{labels.FASTA_PATTERN}')) as matched from queued group by module)
 select module, total, matched, case when matched = 0 then 'FAIL' else 'PASS' end as status from f""",
+    "bed_intervals": f"""{_BED_TEXT_SQL} select distinct chrom, start, "end" from t where start % 5 < 3 union select 'chr9', start + 50, "end" + 50 from t where start % 5 in (2, 3)""",
+    "bedpe_pairs": f"""{_BED_TEXT_SQL} select chrom as c1, start as s1, "end" as e1, 'chr9' as c2, start + 50 as s2, "end" + 50 as e2 from t where start % 5 = 2""",
+    "cluster_bed_pairs": f"select cast(cluster_id as varchar) as cluster_id, c1, s1, e1, c2, s2, e2 from ({oracle.CLUSTER_PAIRS})",
+    "normalised_intervals": f"""{oracle.PAIRS}, x as (select distinct {_ACCESSION_SQL}[cluster_id % {len(labels.ACCESSIONS)} + 1] as label, start, "end" from mem)
+select distinct {oracle.ACCESSION_CASES} as chrom, start, "end" from x where label <> 'NC_012920.1'""",
+    "pair_lines_text": f"select concat_ws(chr(9), chrom, start, \"end\", name, score, strand, thick_start, thick_end, rgb) as line from ({oracle.BED9_PAIRS})",
+    "record_files": """select page_id, case when page_id % 2 = 0 then url else url || '?self' end as url, 'f' || page_id as name from pages, range(2) where page_id % 3 <> 0""",
 }

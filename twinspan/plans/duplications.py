@@ -79,6 +79,6 @@ def find_duplications(sequences: DataFrame, p: Params | None = None) -> DataFram
     return Search(sequences, p or Params()).bed
 
 
-def run(spark: SparkSession, paths: list[str], prefix: str, p: Params | None = None) -> bool:
-    """Searches sequence files and writes <prefix>.dup.bed; whether there was anything to write."""
+def run(spark: SparkSession, paths: list[str], prefix: str, p: Params | None = None) -> int:
+    """Searches sequence files and writes <prefix>.dup.bed; how many regions there are. Nothing is written if there are none."""
     return write_bed(find_duplications(read_sequences(spark, paths), p), prefix)

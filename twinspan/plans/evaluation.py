@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
-import random
-import tempfile
 import time
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from twinspan.operators import intervals
 from twinspan.params import Params
 from twinspan.plans.duplications import run
+from twinspan.plans.scratch import delete, root, write_bytes
 from twinspan.sources import bed
 from twinspan.sources.fasta import fasta_lines
 
@@ -55,45 +54,58 @@ class Truth:
         return places, spark.createDataFrame([(*a, *b) for a, b in self.pairs], "c1 string, s1 long, e1 long, c2 string, s2 long, e2 long")
 
 
-def simulate(path: str, sizes: dict[str, int], copies: int = 100, shortest: int = 1000, longest: int = 10_000, ortholog_rate: float = 0.0, flank: int = 500, seed: int = 1) -> Truth:
+def simulate(path: str, sizes: dict[str, int], copies: int = 100, shortest: int = 1000, longest: int = 10_000, ortholog_rate: float = 0.0, flank: int = 500, seed: int = 1, spark: SparkSession | None = None) -> Truth:
     """Writes random chromosomes with copied stretches that don't overlap, and tells where they are.
 
     An ortholog's copy takes its flanks along, and a third place has the stretch without them; the third
-    pairs with either, the first two don't.
+    pairs with either, the first two don't. All stretches are drawn first and dealt to chromosomes that have room; what is free of a
+    chromosome is then shared out at random as the gaps around its stretches. Stretches without room are left out.
+    spark: writes to any file system that Spark knows, else to a local one.
     """
-    choice, draws = random.Random(seed), np.random.default_rng(seed)
-    genome = {c: bytearray(draws.choice(np.frombuffer(b"ACGT", np.uint8), n).tobytes()) for c, n in sizes.items()}
-    taken: dict[str, list[tuple[int, int]]] = {c: [] for c in sizes}
-
-    def free(length: int, margin: int) -> Interval | None:
-        for _ in range(1000):
-            c = choice.choice(list(sizes))
-            if sizes[c] > length + 2 * margin + 10:
-                s = choice.randint(margin, sizes[c] - length - margin)
-                low, high = s - margin, s + length + margin
-                if all(high <= a or b <= low for a, b in taken[c]):
-                    taken[c].append((low, high))
-                    return c, s, s + length
-        return None
-
-    def copy(source: Interval, to: Interval, margin: int) -> None:
-        genome[to[0]][to[1] - margin : to[2] + margin] = genome[source[0]][source[1] - margin : source[2] + margin]
-
-    pairs: list[tuple[Interval, Interval]] = []
-    for _ in range(copies):
-        length = choice.randint(shortest, longest)
-        three = ortholog_rate > 0 and choice.random() < ortholog_rate and len(sizes) >= 3
-        places = [free(length, m) for m in ((flank, flank, 0) if three else (0, 0))]
-        if None in places:
+    draw = np.random.default_rng(seed)
+    letters = lambda n: draw.choice(np.frombuffer(b"ACGT", np.uint8), n).tobytes()
+    room = dict(sizes)
+    held: dict[str, list[tuple[int, int, bytes, int]]] = {c: [] for c in sizes}  # event, place, bases, flank
+    events = 0
+    for length in draw.integers(shortest, longest + 1, copies).tolist():
+        three = len(sizes) >= 3 and draw.random() < ortholog_rate
+        margins = (flank, flank, 0) if three else (0, 0)
+        left, dealt = dict(room), []
+        for margin in margins:
+            fits = [c for c in sizes if left[c] > length + 2 * margin]
+            if not fits:
+                break
+            weight = np.array([left[c] for c in fits], float)
+            dealt.append(fits[int(draw.choice(len(fits), p=weight / weight.sum()))])
+            left[dealt[-1]] -= length + 2 * margin
+        if len(dealt) < len(margins):
             continue
-        copy(places[0], places[1], flank if three else 0)
-        if three:
-            copy(places[0], places[2], 0)
-            pairs += [(places[0], places[2]), (places[1], places[2])]
-        else:
-            pairs.append((places[0], places[1]))
-    with open(path, "w") as out:
-        out.writelines(fasta_lines(c, bases.decode()) for c, bases in genome.items())
+        room = left
+        bases = letters(length + 2 * margins[0])
+        for place, (chrom, margin) in enumerate(zip(dealt, margins, strict=True)):
+            held[chrom].append((events, place, bases if margin == margins[0] else bases[flank:-flank], margin))
+        events += 1
+
+    found: dict[tuple[int, int], Interval] = {}
+    lines = []
+    for chrom, stretches in held.items():
+        cuts = np.sort(draw.integers(0, room[chrom] + 1, len(stretches))).tolist()
+        parts, at = [], 0
+        for i, cut, before in zip(draw.permutation(len(stretches)).tolist(), cuts, [0, *cuts[:-1]], strict=True):
+            event, place, bases, margin = stretches[i]
+            parts += [letters(cut - before), bases]
+            start = at + cut - before
+            at = start + len(bases)
+            found[event, place] = (chrom, start + margin, at - margin)
+        parts.append(letters(sizes[chrom] - at))
+        lines.append(fasta_lines(chrom, b"".join(parts).decode()))
+    text = "".join(lines).encode()
+    if spark:
+        write_bytes(spark, path, text)
+    else:
+        with open(path, "wb") as out:
+            out.write(text)
+    pairs = [(found[e, a], found[e, b]) for e in range(events) for a, b in (((0, 2), (1, 2)) if (e, 2) in found else ((0, 1),))]
     return Truth(path, pairs, sorted({x for pair in pairs for x in pair}))
 
 
@@ -111,24 +123,36 @@ def evaluate(spark: SparkSession, tool: str, path: str, truth: Truth, seconds: f
     return out | {"Pairs_Count": count, "Time(s)": seconds}
 
 
-def timed_run(spark: SparkSession, truth: Truth, p: Params) -> dict:
-    """Searches a simulated genome and measures what is found; parameters and seconds beside the measures."""
-    with tempfile.TemporaryDirectory() as folder:  # of the driver, which simulates; a cluster's inputs are shared files
-        began = time.perf_counter()
-        run(spark, [truth.path], os.path.join(folder, "out"), p)
-        seconds = time.perf_counter() - began
-        row = evaluate(spark, "twinspan", os.path.join(folder, "out.dup.bed"), truth, seconds)
-    return row | {"kmer": p.k, "window_size": p.window, "step_size": p.stride, "scale": p.scale}
+def _peak_mb(spark: SparkSession, anew: bool = False) -> float:
+    """The driver's most memory in the JVM's pools, since it was last asked for anew, in MB; in local mode that is all there is."""
+    pools = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans()
+    total = sum(x.getPeakUsage().getUsed() for x in pools)
+    for x in pools if anew else ():
+        x.resetPeakUsage()
+    return total / 1e6
 
 
-def sweep(spark: SparkSession, parameter: str, values: Iterable[int] | None = None, genome_sizes: Iterable[int] = (10_000_000, 20_000_000), reps: int = 3, p: Params | None = None, out_csv: str | None = None, copies: int | None = None, seed: int = 1) -> DataFrame:
+def timed_run(spark: SparkSession, truth: Truth, p: Params) -> dict:
+    """Searches a simulated genome and measures what is found; parameters, seconds and memory beside the measures."""
+    prefix = f"{root(spark)}/twinspan/{uuid.uuid4().hex}"
+    _peak_mb(spark, anew=True)
+    began = time.perf_counter()
+    run(spark, [truth.path], prefix, p)
+    seconds, memory = time.perf_counter() - began, _peak_mb(spark)
+    row = evaluate(spark, "twinspan", f"{prefix}.dup.bed", truth, seconds)
+    delete(spark, f"{prefix}.dup.bed")
+    return row | {"kmer": p.k, "window_size": p.window, "step_size": p.stride, "scale": p.scale, "Memory(MB)": memory}
+
+
+def sweep(spark: SparkSession, parameter: str, values: Iterable[int] | None = None, genome_sizes: Iterable[int] = (10_000_000, 20_000_000), reps: int = 3, p: Params | None = None, out_csv: str | None = None, copies: int | None = None, seed: int = 1, ortholog_rate: float = 0.0) -> DataFrame:
     """Results of all values of one parameter (k, scale, window or step), genome sizes and repetitions; written as CSV if asked for."""
     base, rows = p or Params(), []
-    with tempfile.TemporaryDirectory() as folder:
-        for size in genome_sizes:
-            for rep in range(reps):
-                truth = simulate(os.path.join(folder, f"{size}-{rep}.fa"), {f"chr{c}": size // 5 for c in range(1, 6)}, copies or max(10, size // 1_000_000), seed=seed + rep)
-                rows += [timed_run(spark, truth, replace(base, **{parameter: v})) | {"GenomeSize": size, "Rep": rep + 1} for v in values or SWEEPS[parameter]]
+    for size in genome_sizes:
+        for rep in range(reps):
+            path = f"{root(spark)}/twinspan/{uuid.uuid4().hex}.fa"
+            truth = simulate(path, {f"chr{c}": size // 5 for c in range(1, 6)}, copies or max(10, size // 1_000_000), ortholog_rate=ortholog_rate, seed=seed + rep, spark=spark)
+            rows += [timed_run(spark, truth, replace(base, **{parameter: v})) | {"GenomeSize": size, "Rep": rep + 1} for v in values or SWEEPS[parameter]]
+            delete(spark, path)
     found = spark.createDataFrame(rows)
     if out_csv:
         found.coalesce(1).write.mode("overwrite").option("header", True).csv(out_csv)

@@ -41,12 +41,26 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def keep(spark: SparkSession, path: str) -> None:
+    """What lies there is deleted when the process ends."""
+    _written.append((spark, path))
+
+
 def free(*tables: DataFrame | None) -> None:
     """Delete saved tables that no later plan reads; whatever else is given is left alone."""
     gone = {path for x in tables if (path := getattr(x, "_saved_at", None))}
     for spark, path in [x for x in _written if x[1] in gone]:
         _written.remove((spark, path))
-        _delete(spark, path)
+        delete(spark, path)
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of few rows and bytes: what a Python worker holds stays bounded, however long a text or sequence.
+
+    The same for all operators, so that it doesn't matter which was built last.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
 def release(spark: SparkSession) -> None:
@@ -62,13 +76,58 @@ def release(spark: SparkSession) -> None:
 def clear() -> None:
     """Delete every table that was saved; DataFrames that read them can't be used afterwards."""
     while _written:
-        _delete(*_written.pop())
+        delete(*_written.pop())
+
+
+def _place(spark: SparkSession, path: str):  # noqa: ANN202
+    """A path of any file system that Spark knows, with that file system."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where, files = _place(spark, path)
+    return files.exists(where)
+
+
+def size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder."""
+    where, files = _place(spark, path)
+    return files.getContentSummary(where).getLength()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended
-        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        where, files = _place(spark, path)
+        files.delete(where, True)
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes one file from the driver."""
+    where, files = _place(spark, path)
+    out = files.create(where, True)
+    try:
+        for at in range(0, len(data), 1 << 22):
+            out.write(bytearray(data[at : at + (1 << 22)]))
+    finally:
+        out.close()
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Writes the rows of one task, a column of text, as one file and not as a folder of files."""
+    spark = lines.sparkSession
+    parts = f"{path}.{uuid.uuid4().hex}.parts"
+    lines.write.text(parts)
+    folder, files = _place(spark, parts)
+    found = [x.getPath() for x in files.listStatus(folder) if x.getPath().getName().startswith("part-")]
+    if len(found) > 1:
+        raise ValueError("lines of one file must lie in one task")
+    delete(spark, path)
+    if found:
+        files.rename(found[0], _place(spark, path)[0])
+    else:
+        write_bytes(spark, path, b"")
+    delete(spark, parts)
 
 
 atexit.register(clear)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspan.functions.labels import genome_label
+from twinspan.plans.scratch import bounded_batches, exists
 
 SCHEMA = "file_id int, genome string, seq string, comment string, record_no long, bases string, quality string"
 
@@ -55,12 +56,10 @@ def read_sequences(spark: SparkSession, paths: list[str]) -> DataFrame:
     A file, gzipped (also .bgz) or plain, is framed by one task, as records can't be told from within; what
     follows works on pieces of sequences.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    bounded_batches(spark)
     there = []
     for i, path in enumerate(paths):
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        if where.getFileSystem(conf).exists(where):
+        if exists(spark, path):
             there.append((i, path))
         else:
             print(f"[WARN] no such file: {path}")
