@@ -4,7 +4,7 @@ A page is read as a flat row of text blocks, broken at every tag that isn't inli
 number of words and the density of its linked words, the same of the blocks before and after it, and
 what its surroundings say: whether it lies in a part that is named as no content (navigation, asides,
 forms and the like, by tag, role or a whole class or id), whether in an article, and whether in one whose class or id has a word
-that only hints at no content; and what share of its words is of phrases that notices have. Classes and ids of articles and headings are not looked at. A decision tree, grown on the
+that only hints at no content; what share of its words is of phrases that notices have; and whether it lies beside an article that has most of the page's words. Classes and ids of articles and headings are not looked at. A decision tree, grown on the
 small labelled table below, tells content from the rest. Kept blocks are joined in page order.
 
 Each page is read once, in time in proportion to its length, by the task that has it; nothing is
@@ -173,7 +173,7 @@ def blocks(page: str | None) -> list[Block]:
         if tag == "body":
             skip = 0
         if tag in ("article", "main"):
-            article = True
+            article, vague = True, False  # names of what lies around an article say nothing of it
         if tag in VAGUE:
             vague = True
         elif tag in ASIDE and not (tag == "header" and article):  # that of an article has its title
@@ -189,7 +189,7 @@ def blocks(page: str | None) -> list[Block]:
 
 # The labelled table. Words and link density of the block before, the block and the block after; and
 # whether it is content in an article, in a hinted part of one, in neither, and in a hinted part outside. In a part
-# named as no content it never is. A last number is the share of words that are of notices' phrases.
+# named as no content it never is, nor beside an article that has most of the page's words. A last number is the share of words that are of notices' phrases.
 SITUATIONS = (
     # running text
     (0, 0.0, 80, 0.0, 0, 0.0, "1111"), (0, 0.0, 120, 0.0, 60, 0.0, "1111"), (60, 0.0, 48, 0.05, 70, 0.0, "1111"), (9, 0.0, 33, 0.0, 41, 0.0, "1111"), (41, 0.0, 26, 0.1, 2, 1.0, "1111"),
@@ -198,6 +198,7 @@ SITUATIONS = (
     (3, 1.0, 30, 0.0, 0, 0.0, "1111"), (2, 1.0, 60, 0.0, 0, 0.0, "1111"), (1, 1.0, 35, 0.1, 4, 0.0, "1111"), (5, 0.9, 50, 0.0, 2, 1.0, "1111"), (4, 1.0, 12, 0.0, 0, 0.0, "1010"), (1, 1.0, 20, 0.0, 0, 0.0, "1010"), (2, 1.0, 9, 0.0, 0, 0.0, "1010"),
     (8, 1.0, 12, 0.0, 3, 1.0, "1010"), (4, 1.0, 9, 0.0, 3, 1.0, "1010"), (20, 1.0, 15, 0.0, 3, 1.0, "1010"), (5, 1.0, 30, 0.0, 3, 1.0, "1111"), (70, 1.0, 60, 0.0, 2, 1.0, "1111"), (30, 0.0, 5, 0.0, 2, 1.0, "1010"), (60, 0.0, 4, 0.0, 3, 1.0, "1010"),
     (40, 0.0, 11, 0.0, 3, 1.0, "1110"), (3, 1.0, 13, 0.0, 2, 1.0, "1010"), (4, 0.0, 16, 0.0, 5, 0.0, "1010"), (0, 0.0, 20, 0.0, 3, 1.0, "1010"), (2, 1.0, 24, 0.0, 2, 0.0, "1010"),
+    (25, 0.0, 26, 0.0, 0, 0.0, "1111"), (22, 0.0, 20, 0.0, 0, 0.0, "1111"), (18, 0.0, 35, 0.0, 0, 0.0, "1111"), (30, 0.0, 24, 0.1, 1, 1.0, "1111"), (16, 0.0, 22, 0.0, 2, 0.0, "1111"), (20, 0.0, 28, 0.0, 8, 0.0, "1111"),
     # few words beside running text
     (70, 0.0, 6, 0.0, 90, 0.0, "1111"), (90, 0.0, 4, 0.0, 35, 0.0, "1111"), (45, 0.0, 1, 0.0, 50, 0.0, "1111"), (55, 0.0, 3, 0.0, 28, 0.1, "1111"), (30, 0.0, 8, 0.0, 44, 0.0, "1111"),
     (1, 1.0, 2, 0.0, 130, 0.0, "1111"), (1, 1.0, 8, 0.0, 64, 0.0, "1111"), (2, 1.0, 1, 0.0, 25, 0.0, "1111"), (0, 0.0, 1, 0.0, 40, 0.0, "1111"), (0, 0.0, 7, 0.0, 58, 0.0, "1111"),
@@ -224,7 +225,11 @@ SITUATIONS = (
     (3, 1.0, 1, 0.0, 1, 0.0, "1010"), (2, 1.0, 2, 0.0, 1, 0.0, "1010"), (4, 1.0, 1, 0.0, 2, 0.0, "1010"), (2, 1.0, 2, 0.0, 2, 0.0, "1010"), (0, 0.0, 5, 0.0, 2, 1.0, "1000"), (0, 0.0, 7, 0.0, 2, 1.0, "1010"), (3, 0.0, 6, 0.0, 1, 1.0, "1010"),
 )
 #: One row for each situation and surroundings: the features of a block, and whether it is content.
-LABELLED = tuple((*s[:6], aside, article, vague, *(s[7:] or (0.0,)), int(label)) for s in SITUATIONS for (aside, article, vague), label in zip(((0, 1, 0), (0, 1, 1), (0, 0, 0), (0, 0, 1), (1, 0, 0), (1, 1, 0)), s[6] + "00", strict=True))
+LABELLED = tuple(
+    (*s[:6], aside, article, vague, *(s[7:] or (0.0,)), beside, int(label))
+    for s in SITUATIONS
+    for (aside, article, vague, beside), label in zip(((0, 1, 0, 0), (0, 1, 1, 0), (0, 0, 0, 0), (0, 0, 1, 0), (1, 0, 0, 0), (1, 1, 0, 0), (0, 0, 0, 1), (0, 0, 1, 1)), s[6] + "0000", strict=True)
+)
 
 Tree = tuple[int, float, "Tree", "Tree"] | float
 
@@ -268,11 +273,16 @@ def main_text(page: str | None) -> str:
         return ""
     none = Block("", 0, 0.0, False, False, False, 0.0)
     around = zip([none, *found[:-1]], found, [*found[1:], none], strict=True)
-    return " ".join(b.text for a, b, c in around if is_content((a.words, a.links, b.words, b.links, c.words, c.links, b.aside, b.article, b.vague, b.cues)))
+    within = sum(b.words for b in found if b.article and not b.aside)
+    most = within >= 30 and 2 * within >= sum(b.words for b in found if not b.aside)
+    return " ".join(b.text for a, b, c in around if is_content((a.words, a.links, b.words, b.links, c.words, c.links, b.aside, b.article, b.vague, b.cues, most and not b.article)))
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page, from its whole html."""
+    """(page_id, url, text, n_chars) of every page, from its whole html.
+
+    Repeated rows come out as often; columns beside page_id, url and html are left alone; an empty table gives no rows.
+    """
     bounded_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
