@@ -2,6 +2,10 @@
 
 Five stages, each one operator of twinspan.llm over all that the stage before it kept: quality
 classifier, toxicity, near duplicates, mixing sources to target weights, best-fit packing.
+
+A null or empty text is judged by the classifiers' intercepts alone and has size 0 in the mix; a null source is a source of its
+own. Rows without doc_id are no near duplicates of others; of rows that repeat one, the near-duplicate stage keeps one.
+Further columns go through to the mix. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import functions as F
 
 from twinspan.llm import jaccard_join, mixing, packing, quality_classifier, toxicity
 from twinspan.llm.words import word_count
-from twinspan.plans.scratch import save
+from twinspan.plans.scratch import free, release, save
 from twinspan.sources.tables import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -63,5 +67,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of a folder, each stage's rows written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = save(stage(spark, docs, sf_dir), name)
+        before, docs = docs, save(stage(spark, docs, sf_dir), name)
+        free(before)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,17 +10,17 @@ from twinspan.operators import intervals
 from twinspan.params import Params
 from twinspan.plans.duplications import run
 from twinspan.sources import bed
-from twinspan.sources.fasta import fasta_lines, read_sequences, records
+from twinspan.sources.fasta import _whole, fasta_lines, read_sequences, records
 
 
 def test_records():
     text = b"junk\n>a first one\r\nACGT\r\nAC\r\n>b\n\n>c\nGG\n@q more\nACGT\n+\n!!@!\n>d\nTT\n"
-    assert list(records(text)) == [("a", "first one", "ACGTAC", None), ("b", "", "", None), ("c", "", "GG", None), ("q", "more", "ACGT", "!!@!"), ("d", "", "TT", None)]
+    assert list(records(_whole(text))) == [("a", "first one", "ACGTAC", None), ("b", "", "", None), ("c", "", "GG", None), ("q", "more", "ACGT", "!!@!"), ("d", "", "TT", None)]
 
 
 def test_a_bad_record_ends_the_file():
-    assert [r[0] for r in records(b">a\nAC\n@q\nACGT\n+\n!!!!!!\n>b\nAC\n")] == ["a"]
-    assert list(records(b"")) == []
+    assert [r[0] for r in records(_whole(b">a\nAC\n@q\nACGT\n+\n!!!!!!\n>b\nAC\n"))] == ["a"]
+    assert list(records(_whole(b""))) == []
 
 
 def test_files_keep_their_number(spark, tmp_path):
@@ -33,6 +33,27 @@ def test_files_keep_their_number(spark, tmp_path):
     assert read_sequences(spark, [paths[1]]).count() == 0
 
 
+def test_a_file_of_many_splits(spark, tmp_path):
+    """Lines of several splits and many batches come in order; a file's name need not tell how it is packed."""
+    import random
+
+    rng = random.Random(3)
+    bases = {f"s{i}": "".join(rng.choices("ACGT", k=rng.randint(0, 60_000))) for i in range(40)}
+    text = "".join(fasta_lines(k, v) for k, v in bases.items())
+    (tmp_path / "x.fa").write_text(text)
+    (tmp_path / "y.fa.gz").write_text(text)
+    (tmp_path / "z.fa").write_bytes(gzip.compress(text.encode()))
+    (tmp_path / "w.fa.gz").write_bytes(gzip.compress(text.encode()))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        assert spark.read.text(str(tmp_path / "x.fa")).rdd.getNumPartitions() > 5
+        rows = read_sequences(spark, [str(tmp_path / n) for n in ("x.fa", "y.fa.gz", "z.fa", "w.fa.gz")]).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for i, genome in enumerate("xyzw"):
+        assert [(r.genome, r.seq, r.bases) for r in rows if r.file_id == i] == [(genome, k, v) for k, v in bases.items()]
+
+
 def test_labels(spark):
     names = {"/d/x.fna.gz": "x", "x.fa.bgz": "x", "x.tar.gz": "x.tar", "a.b.fasta": "a.b", "/p.d/noext": "noext", "x.gz.fa": "x.gz"}
     rows = spark.createDataFrame([(k,) for k in names], "p string").select("p", labels.genome_label(F.col("p")).alias("g")).collect()

@@ -96,6 +96,16 @@ def size(spark: SparkSession, path: str) -> int:
     return files.getContentSummary(where).getLength()
 
 
+def read_start(spark: SparkSession, path: str, count: int) -> bytes:
+    """A file's first few bytes."""
+    where, files = _place(spark, path)
+    stream = files.open(where)
+    try:
+        return bytes(x for x in (stream.read() for _ in range(count)) if x >= 0)
+    finally:
+        stream.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     with contextlib.suppress(Exception):  # the session may have ended
         where, files = _place(spark, path)
