@@ -213,6 +213,13 @@ def test_mixed_rows_are_what_mix_says(spark):
     assert found == {d: n for d, n in times.items() if n}
 
 
+def test_rows_without_ids_meet_their_target(spark):
+    rows = [(None if i % 3 else 7, " ".join(["w"] * (1 + i % 9)) + f" {i}", s) for i in range(600) for s in ("a", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(docs, word_count(F.col("text"))).groupBy("target").agg(F.sum("taken").alias("n")).collect()
+    assert len(taken) == 2 and all(abs(r.n - r.target) <= 10 for r in taken)
+
+
 def test_mixing_odd_rows(spark):
     size = word_count(F.col("text"))
     rows = mixing.mix(odd_documents(spark), size).collect()
@@ -315,3 +322,14 @@ def test_pipeline_stages(spark):
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, path)
     assert {r.doc_id for r in packed.collect()} == ids and "sequence_id" in packed.columns
     assert packing.pack_documents(docs).count() == packed.count()
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and repeated texts, further columns: what has an id comes out at most twice, all pieces whole."""
+    odd_documents(spark).union(table(spark, DATA, "documents").limit(60).select("doc_id", "text", "lang", "source", F.lit("x"), F.lit(1), F.lit(2))).write.parquet(str(tmp_path / "documents.parquet"))
+    table(spark, DATA, "labels").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert rows and all(r.length <= 2048 and r.offset + r.length <= 2048 for r in rows)
+    odd_documents(spark).limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    table(spark, DATA, "labels").write.parquet(str(tmp_path / "none" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0

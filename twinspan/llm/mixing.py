@@ -94,8 +94,10 @@ def _small(by_source: DataFrame) -> DataFrame:
     return F.broadcast(by_source) if by_source.count() <= BROADCAST_ROWS else by_source
 
 
-def _spread() -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.lit(41), "doc_id"), 64 - BITS * PASSES)
+def _spread(docs: DataFrame) -> Column:
+    """A row's hash: of its id, and, as rows may lack one or share it, of all its columns of text."""
+    texts = [F.col(f"`{name}`") for name, kind in docs.dtypes if kind == "string" and name != "doc_id"]
+    return F.shiftrightunsigned(F.xxhash64(F.lit(41), "doc_id", *texts), 64 - BITS * PASSES)
 
 
 def _times() -> Column:
@@ -105,7 +107,7 @@ def _times() -> Column:
 
 def _sized(docs: DataFrame, size: Column) -> DataFrame:
     """(doc_id, source, size, hash): what is left of the texts."""
-    return save(docs.select("doc_id", "source", size.alias("size"), _spread().alias("hash")), "sizes")
+    return save(docs.select("doc_id", "source", size.alias("size"), _spread(docs).alias("hash")), "sizes")
 
 
 def _cuts(sized: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
@@ -117,8 +119,8 @@ def _cuts(sized: DataFrame, weights: tuple[int, ...], share: float, most: float)
 def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every document.
 
-    taken is `size` times the times that the mix repeats the document. A null text has size 0. Equal
-    doc_ids of a source share a hash, and so are all taken or not. An empty table gives no rows.
+    taken is `size` times the times that the mix repeats the document. A null text has size 0. Rows that are
+    equal in doc_id and all text share a hash, and so are all taken or not. An empty table gives no rows.
     """
     sized = _sized(docs, size)
     out = sized.join(_small(_cuts(sized, weights, share, most)), F.expr(SAME))
@@ -128,7 +130,7 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, share
 def mixed(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The rows of the mix, with the columns of `docs`: each document as often as the mix takes it."""
     cuts = _cuts(_sized(docs, size), weights, share, most).select("of", "rounds", "below")
-    row = docs.select(F.struct(*docs.columns).alias("row"), "source", _spread().alias("hash"))
+    row = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "source", _spread(docs).alias("hash"))
     taken = row.join(_small(cuts), F.expr(SAME)).where(_times() > 0)
     return taken.select("row", F.explode(F.array_repeat(F.lit(True), _times()))).select("row.*")
 
