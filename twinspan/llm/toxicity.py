@@ -65,7 +65,9 @@ def train_chain(rows: list[np.ndarray], marks: np.ndarray, folds: int = FOLDS, e
     """
     idx, n = np.unique(np.concatenate([np.zeros(0, np.int64), *rows]), return_counts=True)
     often = idx[n >= LEAST_ROWS]
-    rows = [x[(x == 0) | np.isin(x, often, assume_unique=True)] for x in rows]
+    known = np.zeros(1 << BITS, bool)
+    known[often] = True
+    rows = [x[known[x] | (x == 0)] for x in rows]
     fold = np.arange(len(rows)) % folds
     taught = np.column_stack([*(fold != f for f in range(folds)), np.ones(len(rows), bool)])
     earlier = np.zeros((len(rows), marks.shape[1]))
@@ -73,8 +75,9 @@ def train_chain(rows: list[np.ndarray], marks: np.ndarray, folds: int = FOLDS, e
     for c in range(marks.shape[1]):
         chain = np.arange(1, c + 1)
         full = [(np.concatenate((x[:1], chain, x[1:])), np.concatenate(([1.0], earlier[i, :c], np.ones(len(x) - 1)))) for i, x in enumerate(rows)]
-        seen, w = Ftrl(alpha=1.0, beta=0.1, l1=4.0, l2=0.0).fit(full, marks[:, c], epochs, taught, KEPT)
-        for i, (at, val) in enumerate(full):
+        last = c == marks.shape[1] - 1  # nothing comes after it that takes its probabilities
+        seen, w = Ftrl(alpha=1.0, beta=0.1, l1=4.0, l2=0.0).fit(full, marks[:, c], epochs, taught[:, folds:] if last else taught, KEPT)
+        for i, (at, val) in enumerate(full if not last else ()):
             earlier[i, c] = sigmoids(val @ w[np.searchsorted(seen, at), fold[i]])
         out.append((seen, w[:, -1]))
     return out
