@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinspan.llm.ftrl import Ftrl, sigmoid
-from twinspan.llm.words import hashed_words
+from twinspan.llm.words import hashed_words, tidy
 from twinspan.plans.scratch import bounded_batches, free, save
 from twinspan.sources.tables import table
 
@@ -75,7 +75,7 @@ def fit(labelled: DataFrame, epochs: int = 6) -> tuple[np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_pydict({"idx": pa.array(idx[at], pa.int64()), "weight": pa.array(w[at, 0])})
 
     gathered = save(labelled, "labelled")
-    found = gathered.coalesce(1).mapInArrow(learn, "idx long, weight double").toPandas()
+    found = gathered.coalesce(1).mapInArrow(tidy(learn), "idx long, weight double").toPandas()
     free(gathered)
     return found["idx"].to_numpy(np.int64), found["weight"].to_numpy(float)
 
@@ -124,7 +124,7 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(scores(batch), pa.float64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
@@ -147,4 +147,4 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scores(batch) >= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

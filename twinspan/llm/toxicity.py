@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from twinspan.llm.ftrl import Ftrl, sigmoids
 from twinspan.llm.quality_classifier import labelled_ids, with_texts
-from twinspan.llm.words import hashed_words, mixed
+from twinspan.llm.words import hashed_words, mixed, tidy
 from twinspan.plans.scratch import bounded_batches, free, save
 from twinspan.sources.tables import table
 
@@ -98,7 +98,7 @@ def fit(labelled: DataFrame, categories: tuple[str, ...] = CATEGORIES) -> Weight
 
     bounded_batches(labelled.sparkSession)
     gathered = save(labelled.select("text", *categories), "labelled")
-    found = gathered.coalesce(1).mapInArrow(learn, "category long, idx long, weight double").toPandas()
+    found = gathered.coalesce(1).mapInArrow(tidy(learn), "category long, idx long, weight double").toPandas()
     free(gathered)
     return [(g["idx"].to_numpy(np.int64), g["weight"].to_numpy(float)) for g in (found[found["category"] == c] for c in range(len(categories)))]
 
@@ -142,7 +142,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -
             yield pa.RecordBatch.from_pydict(columns | {f"p_{c}": pa.array(p[:, i]) for i, c in enumerate(CATEGORIES)})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, toxic int, score double, " + ", ".join(f"p_{c} double" for c in CATEGORIES))
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, toxic int, score double, " + ", ".join(f"p_{c} double" for c in CATEGORIES))
 
 
 def keep(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
@@ -153,7 +153,7 @@ def keep(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> Da
         for batch in batches:
             yield batch.filter(pa.array(scores(batch)[:, -1] <= THRESHOLD))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
@@ -30,6 +33,22 @@ def word_count(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "), F.lit(""))) + 1).cast("long")
 
 
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Run) -> Run:
+    """`run`, after which a task gives the memory it has freed back to the system: the worker lives on and others need it."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+        if trim:
+            trim(0)
+
+    return tidied
+
+
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256)
@@ -42,7 +61,7 @@ _KIND[ord("0") : ord("9") + 1] = ord("0")
 _RUNS = np.isin(np.arange(256), [ord("a"), ord("A"), ord("0")])
 _P = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes hashed at a time, but for words and texts that are longer.
-SLICE = 1 << 21
+SLICE = 1 << 18
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
