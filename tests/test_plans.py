@@ -59,8 +59,10 @@ def test_simulated_copies_are_found(spark, tmp_path):
     assert len(truth.pairs) >= 10
     row = evaluation.timed_run(spark, truth, Params())
     assert row["Recall_frag"] >= 0.95 and row["Recall_bp"] >= 0.95 and row["Memory(MB)"] > 0
-    told = [(a, b) for a, b in truth.pairs if a[0] != b[0] or a[1] < b[1]]  # pairs within a chromosome are compared in the order of the file
-    assert row["Recall_pair"] * len(truth.pairs) >= 0.9 * len(told)
+    thirds = [b for _, b in truth.pairs]
+    # An ortholog's flanks make its region longer than its pair; pairs within a chromosome are compared in the order of the file.
+    plain = [b for a, b in truth.pairs if thirds.count(b) == 1 and (a[0] != b[0] or a[1] < b[1])]
+    assert row["Recall_pair"] * len(truth.pairs) >= len(plain) - 1e-9 and len(plain) >= 5
 
 
 def test_sweep_and_report(spark, tmp_path):
