@@ -91,7 +91,7 @@ def simulate(path: str, sizes: dict[str, int], copies: int = 100, shortest: int
     for chrom, stretches in held.items():
         cuts = np.sort(draw.integers(0, room[chrom] + 1, len(stretches))).tolist()
         parts, at = [], 0
-        for i, cut, before in zip(draw.permutation(len(stretches)).tolist(), cuts, [0, *cuts[:-1]], strict=True):
+        for i, cut, before in zip(draw.permutation(len(stretches)).tolist(), cuts, [0, *cuts], strict=False):
             event, place, bases, margin = stretches[i]
             parts += [letters(cut - before), bases]
             start = at + cut - before
