@@ -117,6 +117,53 @@ def test_jaccard_join_in_small_blocks_and_with_shuffled_ids(spark, monkeypatch,
     assert found == {d: c for d, (_, c) in brute_components(texts, 3, 9, 10).items()} | {1001: 1001, 1002: 1001, 1005: 1001}
 
 
+def family(rng, g: int, words: int, changed: int) -> dict[int, str]:
+    """`g` texts, each with other words in place of so many of one text's, next to each other."""
+    base = [f"w{i}" for i in range(words)]
+    texts = {}
+    for d in range(g):
+        at = rng.randrange(words - changed)
+        texts[d] = " ".join(base[:at] + [f"x{rng.randint(0, 10**9)}" for _ in range(changed)] + base[at + changed :])
+    return texts
+
+
+def test_jaccard_join_moves_few_sets_of_a_family(spark, monkeypatch):
+    """Texts alike but not similar are all compared; before, each block of their sets travelled once for each other block."""
+    monkeypatch.setattr(jaccard_join, "BLOCK_NODES", 4)
+    texts = family(random.Random(3), 120, 300, 12)
+    texts |= {1000 + d: f"{text} end" for d, text in list(texts.items())[:9]}
+    moved = []
+    sets_in = {"s": F.lit(1), "a": F.size("a"), "b": F.coalesce(F.size("b"), F.lit(0))}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    usual = type(docs).mapInArrow
+
+    def spied(self, func, schema, *args):
+        if found := [sets_in[c] for c in self.columns if c in sets_in]:
+            moved.append(self.agg(F.sum(sum(found[1:], found[0]))).first()[0] or 0)
+        return usual(self, func, schema, *args)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", spied)
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(docs).collect()}
+    assert found == brute_components(texts, 3, 9, 10)
+    assert len(texts) <= sum(moved) < 6 * len(texts)
+
+
+def test_jaccard_join_deals_every_pair_once(spark, monkeypatch):
+    """Nodes of different components of a cell lie in one group or pass by it, once."""
+    for name, value in (("BLOCK_NODES", 4), ("HELD", 2)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rows = [(i, 50, i, 7 if i < 80 else i, 1 if i < 120 else 2) for i in range(150)]
+    state = spark.createDataFrame(rows, "node long, n long, low long, component long, cell long")
+    at = {}
+    for r in jaccard_join._dealt(state).collect():
+        at.setdefault(r.group, []).append((r.node, r.passing))
+    met = [tuple(sorted((a, b))) for x in at.values() for a, by in x if not by for b, passing in x if passing or a < b]
+    component = {r[0]: (r[4], r[3]) for r in rows}
+    want = {(a, b) for a in range(150) for b in range(a + 1, 150) if component[a][0] == component[b][0] and component[a] != component[b]}
+    assert len(met) == len(set(met)) and want <= set(met)
+    assert max(sum(not passing for _, passing in x) for x in at.values()) < 40
+
+
 def test_jaccard_join_on_odd_rows(spark):
     rows = jaccard_join.near_duplicates(odd_documents(spark)).collect()
     assert len(rows) == odd_documents(spark).count()
