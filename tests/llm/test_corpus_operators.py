@@ -148,6 +148,25 @@ def test_jaccard_join_moves_few_sets_of_a_family(spark, monkeypatch):
     assert len(texts) <= sum(moved) < 6 * len(texts)
 
 
+@pytest.mark.parametrize("stars", [0, 1])
+def test_jaccard_join_keeps_few_links_of_near_copies(spark, monkeypatch, stars):
+    """All of 60 texts are similar to each other; before, all pairs of a block came out as links."""
+    texts = family(random.Random(4), 60, 300, 2)
+    counts, usual = [], jaccard_join.save
+
+    def counted(df, name):
+        out = usual(df, name)
+        if name == "links":
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "save", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    found = {r.doc_id: r.component_id for r in jaccard_join.near_duplicates(docs, 3, (9, 10), stars).collect()}
+    assert set(found.values()) == {0} and len(found) == 60
+    assert sum(counts) < 2 * len(texts)
+
+
 def test_jaccard_join_deals_every_pair_once(spark, monkeypatch):
     """Nodes of different components of a cell lie in one group or pass by it, once."""
     for name, value in (("BLOCK_NODES", 4), ("HELD", 2)):
